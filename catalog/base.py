@@ -177,7 +177,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     """The expected (run, key) pairs: the grid once for every run that events touch."""
     touched = table(spark, sf, "events").select(run_columns()[0]).distinct()
     ordinals = touched.withColumn(
-        "ordinal", F.explode(F.sequence(F.lit(0), F.lit(539))).cast("long")
+        "ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(539).cast("long")))
     )
     return ordinals.join(F.broadcast(grid(spark)), "ordinal")
 

@@ -57,10 +57,7 @@ def mean_difference(differences: DataFrame, stratum: Sequence[str]) -> DataFrame
 def _pairs(differences: DataFrame, by: Sequence[str], pair: str) -> DataFrame:
     """The differences of a stratum in seed order: as many as the study has seeds."""
     return differences.groupBy(*by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(pair), F.col("difference")))),
-            lambda item: item["difference"],
-        ).alias("d"),
+        F.sort_array(F.collect_list(F.struct(pair, "difference")))["difference"].alias("d"),
         F.avg("difference").alias("estimate"),
     )
 

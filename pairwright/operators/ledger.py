@@ -109,7 +109,7 @@ def run_report(
 
     def keys_in(name: str) -> Column:
         items = F.collect_list(F.when(state == name, F.struct(F.col(ordinal), F.col("key"))))
-        return F.transform(F.array_sort(items), lambda item: item["key"]).alias(f"{name}_keys")
+        return F.sort_array(items)["key"].alias(f"{name}_keys")
 
     lists = [keys_in("failure"), keys_in("timeout")] if key_lists else []
     return (

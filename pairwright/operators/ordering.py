@@ -48,17 +48,24 @@ def id_bucket(row_id: Column, step: int = ID_STEP) -> Column:
 
 
 def ranked(
-    rows: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[str], name: str
+    rows: DataFrame,
+    group: Sequence[str],
+    bucket: Column,
+    order: Sequence[str],
+    name: str,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add the zero-based rank of each row in its group, as ``name``.
 
-    ``bucket`` must not decrease along ``order``.
+    ``bucket`` must not decrease along ``order``. ``counted`` may give the same rows in
+    an earlier, cheaper form to count the buckets from.
     """
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        rows.groupBy(*group, bucket.alias("_bucket"))
+        (rows if counted is None else counted)
+        .groupBy(*group, bucket.alias("_bucket"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
@@ -142,8 +149,7 @@ def ordered_digest(
 
     def joined(place: str, value: Column) -> Column:
         items = F.collect_list(F.struct(F.col(place).alias("p"), value.cast("string").alias("v")))
-        texts = F.transform(F.array_sort(items), lambda item: item["v"])
-        return F.sha2(F.concat(F.array_join(texts, glue), F.lit(end)), 256)
+        return F.sha2(F.concat(F.array_join(F.sort_array(items)["v"], glue), F.lit(end)), 256)
 
     chunks = rows.groupBy(*group, F.floor(F.col(pos) / CHUNK).cast("long").alias("_chunk")).agg(
         *[joined(pos, value).alias(name) for name, value in values.items()]

@@ -119,7 +119,8 @@ class Restorer:
         ordered = self._ordered(rows)
         bucket = digest_bucket(F.col("_digest"), self._digits)
         return (
-            ranked(ordered, keys, bucket, ["_digest", self.row_id], "rank")
+            ranked(ordered, keys, bucket, ["_digest", self.row_id], "rank",
+                   counted=self._ordered(self.retained))
             .join(plan, keys)
             .withColumn(
                 "copies",
@@ -178,7 +179,7 @@ class Restorer:
         group, label = self.group, self.label
         plan = self.allocation
         per_class = lambda column: F.map_from_entries(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct(F.col(label).cast("string"), F.col(column).cast("long")))
             )
         )
@@ -203,28 +204,32 @@ class Restorer:
                 ),
             )
         )
-        row_id = F.col(self.row_id)
-        restored = self.restored().join(
-            plan.select(*group, "n_original").distinct(), group
-        )
-        originals = ordered_digest(
-            restored.filter(~F.col("is_duplicate")), group, "pos",
-            original_source_indices_sha256=row_id,
-        )
-        duplicates = ordered_digest(
-            restored.filter("is_duplicate").withColumn("_pos", F.col("pos") - F.col("n_original")),
-            group, "_pos", duplicate_source_indices_sha256=row_id,
+        # One pass: each restored row stands in the final sequence and in one of the two
+        # others, at its place there.
+        block = F.when(F.col("is_duplicate"), "duplicate").otherwise("original")
+        own = F.col("pos") - F.when(F.col("is_duplicate"), F.col("n_original")).otherwise(0)
+        entry = lambda name, place: F.struct(name.alias("sequence"), place.alias("_at"))
+        digests = ordered_digest(
+            self.restored()
+            .join(plan.select(*group, "n_original").distinct(), group)
+            .select(
+                *group, self.row_id, label,
+                F.inline(F.array(entry(F.lit("final"), F.col("pos")), entry(block, own))),
+            ),
+            [*group, "sequence"], "_at", ids=F.col(self.row_id), labels=F.col(label),
         )
-        final = ordered_digest(
-            restored, group, "pos",
-            final_source_indices_sha256=row_id, final_target_labels_sha256=F.col(label),
+        of = lambda sequence, column: F.max(
+            F.when(F.col("sequence") == sequence, F.col(column))
         )
-        return (
-            counts.join(originals, group)
-            .join(duplicates, group, "left")
-            .fillna({"duplicate_source_indices_sha256": EMPTY_SHA256})
-            .join(final, group)
+        wide = digests.groupBy(*group).agg(
+            of("original", "ids").alias("original_source_indices_sha256"),
+            F.coalesce(of("duplicate", "ids"), F.lit(EMPTY_SHA256)).alias(
+                "duplicate_source_indices_sha256"
+            ),
+            of("final", "ids").alias("final_source_indices_sha256"),
+            of("final", "labels").alias("final_target_labels_sha256"),
         )
+        return counts.join(wide, group)
 
 
 # Fixed value: SHA-256 of the empty text.
@@ -286,7 +291,7 @@ def restoration_violations(
     """Check size, class counts, order of originals and blocks, and the positions."""
     per_class = restored.groupBy(*group, label).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if("NOT is_duplicate").alias("originals"),
+        F.count_if(F.expr("NOT is_duplicate")).alias("originals"),
         F.max(F.when(~F.col("is_duplicate"), F.col("pos"))).alias("last_original"),
         F.min(F.when(F.col("is_duplicate"), F.col("pos"))).alias("first_copy"),
         F.max(F.when(F.col("is_duplicate"), F.col("pos"))).alias("last_copy"),

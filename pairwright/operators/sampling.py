@@ -25,105 +25,77 @@ from pairwright.operators.ordering import (
 )
 from pairwright.study import TEST_SIZE
 
-_BIG = "decimal(19,0)"
-
 
 def class_counts(rows: DataFrame, group: Sequence[str], label: str = "target") -> DataFrame:
     return rows.groupBy(*group, label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_allocation(minimum: int = 2) -> Column:
-    """Largest-remainder allocation of ``_total`` over ``_classes``.
-
-    ``_classes`` is an array of (label, n), sorted by label. Products are decimals, so
-    they stay exact for any row count. Equal remainders go to the smaller label; a
-    class below ``minimum`` is lifted from the largest class that can spare the rows.
-    """
-    classes = F.col("_classes")
-    everyone = F.aggregate(
-        classes, F.lit(0).cast("long"), lambda total, item: total + item["n"]
-    )
-    product = lambda item: item["n"].cast(_BIG) * F.col("_total").cast(_BIG)
-    shares = F.transform(
-        classes,
-        lambda item: F.struct(
-            item["label"].alias("label"),
-            F.floor(product(item) / everyone.cast(_BIG)).cast("long").alias("rough"),
-        ),
-    )
-    # The quotient above may round up at a large scale: settle it with integers.
-    exact = F.zip_with(
-        classes,
-        shares,
-        lambda item, share: F.struct(
-            item["label"].alias("label"),
-            F.when(share["rough"].cast(_BIG) * everyone.cast(_BIG) > product(item),
-                   share["rough"] - 1).otherwise(share["rough"]).alias("low"),
-            (product(item) % everyone.cast(_BIG)).cast("long").alias("rest"),
-        ),
-    )
-    floors = F.aggregate(exact, F.lit(0).cast("long"), lambda total, item: total + item["low"])
-    open_seats = F.col("_total") - floors
-    rank = lambda item: F.size(
-        F.filter(
-            exact,
-            lambda other: (other["rest"] > item["rest"])
-            | ((other["rest"] == item["rest"]) & (other["label"] < item["label"])),
-        )
-    )
-    seats = F.transform(
-        exact, lambda item: item["low"] + F.when(rank(item) < open_seats, 1).otherwise(0)
-    )
-    if not minimum:
-        return seats
-
-    def lift(seats: Column, place: Column) -> Column:
-        deficit = F.greatest(F.lit(0).cast("long"), minimum - F.get(seats, place))
-        able = F.filter(
-            F.transform(seats, lambda seat, i: F.struct((-seat).alias("lack"), i.alias("i"))),
-            lambda donor: (donor["i"] != place) & (-donor["lack"] - deficit >= minimum),
-        )
-        donor = F.array_min(able)["i"]
-        return F.transform(
-            seats,
-            lambda seat, i: F.when(deficit == 0, seat)
-            .when(i == place, seat + deficit)
-            .when(i == donor, seat - deficit)
-            .otherwise(seat),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(classes) - 1), seats, lift)
-
-
 def allocate_class_counts(
     counts: DataFrame, group: Sequence[str], total: str, label: str = "target", minimum: int = 2
 ) -> DataFrame:
     """Split ``total`` of each group over its classes; one row per (group, class).
 
-    ``counts`` has one row per group and class: a table of grid size. A total that
-    cannot keep the minimum gives a null allocation (see ``allocation_violations``).
+    Largest remainders: every class gets the whole part of its share, and the seats left
+    go to the largest remainders, equal ones to the smaller label. A class below
+    ``minimum`` is lifted from the largest class that can spare the rows. Products are
+    decimals, so shares stay exact for any row count. A total that cannot keep the
+    minimum gives a null allocation (see ``allocation_violations``).
+
+    ``counts`` has one row per group and class: a table of grid size.
     """
-    per_group = counts.groupBy(*group, total).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col(label).alias("label"), F.col("n").cast("long").alias("n")))
-        ).alias("_classes")
+    wide = lambda name: f"CAST({name} AS DECIMAL(19,0))"
+    share = f"{wide('c.n')} * {wide('_total')}"
+    lack = f"greatest(0L, {minimum} - seats[place])"
+    donor = (
+        "array_min(filter(transform(seats, (seat, i) -> named_struct('lack', -seat, 'i', i)), "
+        f"d -> d.i <> place AND -d.lack - {lack} >= {minimum})).i"
+    )
+    lifted = (
+        "aggregate(sequence(0, size(_classes) - 1), _seats, (seats, place) -> transform(seats, "
+        f"(seat, i) -> CASE WHEN {lack} = 0 THEN seat WHEN i = place THEN seat + {lack} "
+        f"WHEN i = {donor} THEN seat - {lack} ELSE seat END))"
     )
-    feasible = F.col("_total") >= minimum * F.size("_classes")
     return (
-        per_group.withColumn("_total", F.col(total).cast("long"))
-        .withColumn("_seats", F.when(feasible, class_allocation(minimum)))
-        .select(
-            *group,
-            total,
-            F.posexplode(F.col("_classes")).alias("_i", "_class"),
-            F.col("_seats"),
+        counts.groupBy(*group, total)
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct(F.col(label).alias("label"), F.col("n").cast("long").alias("n"))
+                )
+            ).alias("_classes"),
+            F.sum("n").cast("long").alias("_everyone"),
+            F.max(F.col(total).cast("long")).alias("_total"),
+        )
+        .withColumn(
+            "_shares",
+            F.expr(
+                f"transform(_classes, c -> named_struct('label', c.label, "
+                f"'low', ({share}) div {wide('_everyone')}, "
+                f"'rest', CAST(({share}) % {wide('_everyone')} AS BIGINT)))"
+            ),
+        )
+        .withColumn("_open", F.expr("_total - aggregate(_shares, 0L, (t, s) -> t + s.low)"))
+        .withColumn(
+            "_seats",
+            F.expr(
+                "transform(_shares, s -> s.low + CASE WHEN size(filter(_shares, o -> o.rest > s.rest "
+                "OR (o.rest = s.rest AND o.label < s.label))) < _open THEN 1L ELSE 0L END)"
+            ),
+        )
+        .withColumn(
+            "_seats",
+            F.expr(
+                f"CASE WHEN _total >= {minimum} * size(_classes) "
+                f"THEN {lifted if minimum else '_seats'} END"
+            ),
         )
+        .select(*group, total, F.posexplode("_classes").alias("_i", "_class"), "_seats")
         .select(
             *group,
             total,
             F.col("_class.label").alias(label),
             F.col("_class.n").alias("n"),
-            F.get("_seats", F.col("_i")).alias("allocation"),
+            F.expr("get(_seats, _i)").alias("allocation"),
         )
     )
 
@@ -131,7 +103,7 @@ def allocate_class_counts(
 def allocation_violations(allocated: DataFrame, group: Sequence[str], total: str) -> DataFrame:
     return (
         allocated.groupBy(*group, total)
-        .agg(F.sum("allocation").alias("given"), F.count_if("allocation IS NULL").alias("open"))
+        .agg(F.sum("allocation").alias("given"), F.count_if(F.expr("allocation IS NULL")).alias("open"))
         .select(
             *group,
             F.when(F.col("open") > 0, "total_below_minimum")

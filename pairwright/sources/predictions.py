@@ -27,7 +27,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def to_arrays(predictions: DataFrame, keys: Sequence[str], block: int = CHUNK) -> DataFrame:
     """Three parallel arrays per key and block of positions."""
-    packed = F.array_sort(F.collect_list(F.struct("pos", *ARRAYS)))
+    packed = F.sort_array(F.collect_list(F.struct("pos", *ARRAYS)))
     return (
         predictions.groupBy(*keys, F.floor(F.col("pos") / block).cast("long").alias("block"))
         .agg(packed.alias("_rows"))
