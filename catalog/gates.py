@@ -228,8 +228,10 @@ def q_manifest(spark, sf):
 
 @query(
     "manifest_totals",
-    f"""WITH {FILES_SQL} SELECT 'artifact_count_mismatch' AS code, 'declared ' || (SELECT count(*) FROM declared) || ', listed ' || (SELECT count(*) FROM actual) AS detail
-        UNION ALL SELECT 'artifact_bytes_mismatch', 'declared ' || (SELECT sum(bytes) FROM declared) || ', listed ' || (SELECT sum(bytes) FROM actual)""",
+    f"""WITH {FILES_SQL}, t AS (SELECT (SELECT count(*) FROM declared) AS dn, (SELECT count(*) FROM actual) AS an,
+          (SELECT sum(bytes) FROM declared) AS db, (SELECT sum(bytes) FROM actual) AS ab)
+        SELECT 'artifact_count_mismatch' AS code, 'declared ' || dn || ', listed ' || an AS detail FROM t WHERE dn <> an
+        UNION ALL SELECT 'artifact_bytes_mismatch', 'declared ' || db || ', listed ' || ab FROM t WHERE db <> ab""",
 )
 def q_totals(spark, sf):
     totals = declared(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))

@@ -12,11 +12,19 @@ _CONTRAST = (
     "bootstrap_seed: DECIMAL(20,0), bootstrap_resamples: INT, method: STRING, "
     "quantiles: ARRAY<DOUBLE>, quantile_method: STRING>"
 )
-ROW_SCHEMA = (
-    "dataset STRING, retained_fraction DECIMAL(3,2), retained_fraction_token STRING, "
-    f"model STRING, paired_seed_count INT, contrasts MAP<STRING, {_CONTRAST}>"
+_ROW = {
+    "dataset": "STRING",
+    "retained_fraction": "DECIMAL(3,2)",
+    "retained_fraction_token": "STRING",
+    "model": "STRING",
+    "paired_seed_count": "INT",
+    "contrasts": f"MAP<STRING, {_CONTRAST}>",
+}
+ROW_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in _ROW.items())
+_NESTED_ROW = ", ".join(f"{name}: {kind}" for name, kind in _ROW.items())
+DOCUMENT_SCHEMA = (
+    f"stratum_count INT, practical_threshold DOUBLE, rows ARRAY<STRUCT<{_NESTED_ROW}>>"
 )
-DOCUMENT_SCHEMA = f"stratum_count INT, practical_threshold DOUBLE, rows ARRAY<STRUCT<{ROW_SCHEMA.replace(' STRING', ': STRING').replace(' DECIMAL(3,2)', ': DECIMAL(3,2)').replace('count INT', 'count: INT').replace('contrasts MAP', 'contrasts: MAP')}>>"
 
 
 def nested_summary(summary: DataFrame) -> DataFrame:

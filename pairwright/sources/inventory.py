@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pairwright.sources.tables import header_of, scan_metric_keys
 def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path below root, bytes, sha256) of every file; each file is hashed in a task.
 
+    The scan passes over files without content, so those are taken from its listing.
     Files above 2 GiB are out of reach of the binary reader.
     """
     files = (
@@ -25,10 +27,19 @@ def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
         .load(root)
     )
     base = root.rstrip("/") + "/"
-    after = F.expr(f"substring_index(path, '{base}', -1)")
-    return files.select(
-        after.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    hashed = files.select(
+        F.expr(f"substring_index(path, '{base}', -1)").alias("path"),
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
     )
+    listed = [(unquote(name).rsplit(base, 1)[-1],) for name in files.inputFiles()]
+    empty = (
+        spark.createDataFrame(listed, "path STRING")
+        .join(files.select(F.expr(f"substring_index(path, '{base}', -1)").alias("path")),
+              "path", "left_anti")
+        .select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
+    )
+    return hashed.unionByName(empty)
 
 
 def same_content(left: DataFrame, right: DataFrame) -> bool:
