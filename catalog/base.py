@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.keys import condition_key, fraction_token
 from pairwright.operators.grid import condition_grid
+from pairwright.operators.ordering import spread
 from pairwright.study import Study, decimals, scarcity_study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,8 @@ FRACTIONS = decimals("0.05", "0.25", "0.50")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey"]
+    return spread(table(spark, sf, "orders").select(*columns)).select(
         F.col("o_orderkey").alias("row_id"),
         (F.col("o_orderstatus") == "F").cast("int").alias("target"),
         F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice")).alias("x_num"),
@@ -60,7 +62,9 @@ KEYS = ["dataset", "retained_fraction", "retained_fraction_token", "seed", "mode
 
 def arm_scores(spark: SparkSession, sf: str) -> DataFrame:
     """(condition, arm, y_true, probability): one row per lineitem row and arm."""
-    lines = table(spark, sf, "lineitem")
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+               "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus"]
+    lines = spread(table(spark, sf, "lineitem").select(*columns))
     retained = F.when(F.col("l_tax") < 0.04, F.lit("0.05")).otherwise("0.50")
     return lines.select(
         F.col("l_linestatus").alias("dataset"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +19,14 @@ STRATUM = ("dataset", "retained_fraction", "retained_fraction_token", "model")
 def level_table(spark: SparkSession, study: Study) -> DataFrame:
     """One row per declared (dataset, fraction), with its declared place."""
     rows = [
-        (d, dataset, f, fraction)
+        (d, dataset, f, Decimal(fraction))
         for d, (dataset, fractions) in enumerate(study.levels.items())
         for f, fraction in enumerate(fractions)
     ]
-    return spark.createDataFrame(
-        rows,
-        "dataset_ordinal INT, dataset STRING, fraction_ordinal INT, "
-        "retained_fraction DECIMAL(3,2)",
-    ).withColumn("retained_fraction_token", fraction_token(F.col("retained_fraction")))
+    names = ["dataset_ordinal", "dataset", "fraction_ordinal", "retained_fraction"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.decimal128(3, 2)]
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+    return spark.createDataFrame(pa.table(columns, names=names)).withColumn("retained_fraction_token", fraction_token(F.col("retained_fraction")))
 
 
 def with_seeds(rows: DataFrame, study: Study) -> DataFrame:

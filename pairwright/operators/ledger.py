@@ -102,10 +102,25 @@ def run_report(
 ) -> DataFrame:
     """One report row per run: states, times, resources, outputs and the pass flag.
 
-    The two key lists hold at most the conditions of the grid, in grid order.
+    Rows are folded per key and state first, so the two key lists, in grid order, hold
+    at most the conditions of the grid even if a run repeats its rows.
     """
     state = F.col("terminal_state")
     success = state == "success"
+    zero = F.lit(0)
+    per_key = ledger.groupBy(*run, ordinal, "key", "terminal_state").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("elapsed_seconds").alias("_sum"),
+        F.max("elapsed_seconds").alias("_max"),
+        F.max("metadata.rss_bytes").alias("_rss"),
+        F.sum(F.size("metadata.warnings")).alias("_warnings"),
+        F.count("artifact").alias("_artifacts"),
+        F.sum("artifact.bytes").alias("_bytes"),
+    )
+
+    def rows_in(test: Column | None = None) -> Column:
+        kept = F.col("_rows") if test is None else F.when(test, F.col("_rows")).otherwise(zero)
+        return F.sum(kept)
 
     def keys_in(name: str) -> Column:
         items = F.collect_list(F.when(state == name, F.struct(F.col(ordinal), F.col("key"))))
@@ -113,18 +128,18 @@ def run_report(
 
     lists = [keys_in("failure"), keys_in("timeout")] if key_lists else []
     return (
-        ledger.groupBy(*run)
+        per_key.groupBy(*run)
         .agg(
-            F.count(F.lit(1)).alias("terminal_key_count"),
-            F.count_if(success).alias("successful_key_count"),
-            F.count_if(state == "failure").alias("failure_key_count"),
-            F.count_if(state == "timeout").alias("timeout_key_count"),
-            F.sum("elapsed_seconds").alias("summed_condition_seconds"),
-            F.max("elapsed_seconds").alias("maximum_condition_seconds"),
-            F.coalesce(F.max("metadata.rss_bytes"), F.lit(0)).alias("maximum_observed_rss_bytes"),
-            F.coalesce(F.sum(F.size("metadata.warnings")), F.lit(0)).alias("warning_count"),
-            (F.count(F.lit(1)) + F.count("artifact")).alias("condition_output_file_count"),
-            F.coalesce(F.sum("artifact.bytes"), F.lit(0)).alias("condition_output_bytes"),
+            rows_in().alias("terminal_key_count"),
+            rows_in(success).alias("successful_key_count"),
+            rows_in(state == "failure").alias("failure_key_count"),
+            rows_in(state == "timeout").alias("timeout_key_count"),
+            F.sum("_sum").alias("summed_condition_seconds"),
+            F.max("_max").alias("maximum_condition_seconds"),
+            F.coalesce(F.max("_rss"), zero).alias("maximum_observed_rss_bytes"),
+            F.coalesce(F.sum("_warnings"), zero).alias("warning_count"),
+            (rows_in() + F.sum("_artifacts")).alias("condition_output_file_count"),
+            F.coalesce(F.sum("_bytes"), zero).alias("condition_output_bytes"),
             *lists,
         )
         .withColumn("expected_key_count", F.lit(expected_count))

@@ -25,9 +25,11 @@ def distinct_scores(
     if dict(predictions.dtypes)[score] != "float":
         raise TypeError(f"{score} must be a FLOAT column")
     positive = F.col(label) == 1
-    return predictions.groupBy(
-        *group, score_bucket(F.col(score)).alias("_bucket"), F.col(score).alias("_score")
-    ).agg(F.count_if(positive).alias("p1"), F.count_if(~positive).alias("p0"))
+    return (
+        predictions.groupBy(*group, F.col(score).alias("_score"))
+        .agg(F.count_if(positive).alias("p1"), F.count_if(~positive).alias("p0"))
+        .withColumn("_bucket", score_bucket(F.col("_score")))
+    )
 
 
 def _running(distinct: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -31,6 +31,16 @@ def settle(table: DataFrame, limit: int = SETTLE_ROWS) -> DataFrame:
     return F.broadcast(table.sparkSession.createDataFrame(head, schema=table.schema))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain table scan in at least as many partitions as there are cores.
+
+    For scans that feed much work per row (a digest per row and seed). A table with
+    more splits than cores, so any large one, comes back as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def digest_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
     """Hex digits of the digest prefix that keep a bucket near ``bucket_rows``."""
     digits = 0
@@ -47,6 +57,18 @@ def id_bucket(row_id: Column, step: int = ID_STEP) -> Column:
     return F.floor(row_id / step).cast("long")
 
 
+def id_buckets(rows: DataFrame, row_id: str, step: int = ID_STEP) -> Column:
+    """Bucket rule for the ids of ``rows``, from one aggregate over them.
+
+    Dense ids take fixed steps. Ids spread so thin that steps would hold few rows each
+    are cut by a fixed sample of them instead.
+    """
+    low, high, count = rows.agg(F.min(row_id), F.max(row_id), F.count(row_id)).first()
+    if not count or (high - low) // step <= 4 * (count // step) + 1024:
+        return id_bucket(F.col(row_id), step)
+    return range_bucket(F.col(row_id), splitters(rows, row_id, 256))
+
+
 def ranked(
     rows: DataFrame,
     group: Sequence[str],

@@ -13,7 +13,7 @@ from pairwright.operators.ordering import (
     digest_bucket,
     digest_cutoffs,
     digest_digits,
-    id_bucket,
+    id_buckets,
     ordered_digest,
     ranked,
     settle,
@@ -113,7 +113,9 @@ class Restorer:
         )
         rows = self.retained.drop("_final")
         if self.position is None:
-            rows = ranked(rows, self.group, id_bucket(F.col(self.row_id)), [self.row_id], "_own")
+            rows = ranked(
+                rows, self.group, id_buckets(rows, self.row_id), [self.row_id], "_own"
+            )
         else:
             rows = rows.withColumnRenamed(self.position, "_own")
         ordered = self._ordered(rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,15 +44,15 @@ def metrics_from_predictions(predictions: DataFrame, study: Study) -> DataFrame:
     return grid.join(roc_auc(predictions, ["key"]).select("key", "roc_auc"), "key")
 
 
-def gate_arm(rows: DataFrame, study: Study, label: str) -> DataFrame:
-    """Metric rows of one arm, once they pass identity, range and key checks."""
+def arm_violations(rows: DataFrame, study: Study) -> DataFrame:
+    """(key, code) of metric rows that fail identity, range or key checks."""
     grid = condition_grid(rows.sparkSession, study)
-    require_empty(identity_gate(rows, study), f"{label} identity")
-    require_empty(metric_range(rows), f"{label} metrics")
-    require_empty(
-        reconcile_keys(grid, rows, ["key"]).filter("status != 'ok'"), f"{label} keys"
+    keys = reconcile_keys(grid, rows, ["key"]).filter("status != 'ok'")
+    return (
+        identity_gate(rows, study)
+        .unionByName(metric_range(rows))
+        .unionByName(keys.select("key", F.col("status").alias("code")))
     )
-    return rows
 
 
 def analyze(
@@ -68,17 +69,23 @@ def analyze(
     The metric tables are of grid size; each is evaluated once.
     """
     grid = condition_grid(spark, study)
-    ready = {}
-    for name, rows in arms.items():
-        table = settle(rows.select("key", *IDENTITY, "roc_auc"))
-        gated = gate_arm(table, (wider or {}).get(name, study), name)
-        ready[name] = restrict_to_grid(gated, grid, ["key"])
+    tables = {name: settle(rows.select("key", *IDENTITY, "roc_auc")) for name, rows in arms.items()}
+    found = [
+        arm_violations(table, (wider or {}).get(name, study)).withColumn("arm", F.lit(name))
+        for name, table in tables.items()
+    ]
+    require_empty(reduce(DataFrame.unionByName, found), "arm metrics")
+    ready = {name: restrict_to_grid(table, grid, ["key"]) for name, table in tables.items()}
     joined = arm_join(ready, list(IDENTITY))
     summary = settle(
         stratum_summaries(
             paired_differences(joined, list(IDENTITY), study.contrasts), study, pcg64=pcg64
         )
     )
-    require_empty(summary_gate(summary, study), "summary")
-    require_empty(strata_gate(summary, strata(spark, study), study), "strata")
+    require_empty(
+        summary_gate(summary, study).unionByName(
+            strata_gate(summary, strata(spark, study), study)
+        ),
+        "summary",
+    )
     return summary.select("*", F.lit(study.threshold).alias("practical_threshold"))

@@ -13,6 +13,7 @@ from pairwright.operators.ordering import (
     digest_bucket,
     digest_digits,
     id_bucket,
+    id_buckets,
     range_bucket,
     ranked,
     settle,
@@ -177,3 +178,13 @@ def test_splitters_cut_strings_in_order(spark):
     got = frame.select("path", range_bucket(F.col("path"), cuts).alias("b")).orderBy("path").collect()
     buckets = [r["b"] for r in got]
     assert buckets == sorted(buckets) and len(set(buckets)) == len(cuts) + 1
+
+
+def test_sparse_ids_are_cut_by_a_sample(spark):
+    frame = spark.range(500).select(F.lit("g").alias("g"), (F.col("id") * 2**52).alias("row_id"))
+    bucket = id_buckets(frame, "row_id")
+    assert frame.select(bucket.alias("b")).distinct().count() > 50
+    got = ranked(frame, ["g"], bucket, ["row_id"], "rank")
+    assert got.filter(F.col("rank") * 2**52 != F.col("row_id")).isEmpty()
+    dense = spark.range(500).withColumnRenamed("id", "row_id")
+    assert dense.select(id_buckets(dense, "row_id").alias("b")).distinct().count() == 1
