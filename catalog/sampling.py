@@ -132,7 +132,7 @@ a AS (SELECT *, low + CASE WHEN place <= open_seats THEN 1 ELSE 0 END AS seat FR
 )
 def q_allocate(spark, sf):
     """One group per customer: small totals, so the minimum and ties matter."""
-    return S.allocate_class_counts(_customers(spark, sf), ["o_custkey"], "total")
+    return S.allocate_class_counts(_customers(spark, sf), ["o_custkey"], "total").drop("everyone")
 
 
 def _customers(spark, sf):
@@ -160,11 +160,9 @@ def labelled_by_customer(spark, sf):
 def q_remainders(spark, sf):
     """Classes that get a seat for their remainder: the top ``open_seats`` of each group."""
     rows = S.allocate_class_counts(_customers(spark, sf), ["o_custkey"], "total", minimum=0)
-    everyone = rows.groupBy("o_custkey").agg(F.sum("n").alias("everyone"))
     share = F.col("n").cast("decimal(19,0)") * F.col("total").cast("decimal(19,0)")
     return (
-        rows.join(everyone, "o_custkey")
-        .filter(F.col("allocation") > F.floor(share / F.col("everyone").cast("decimal(19,0)")))
+        rows.filter(F.col("allocation") > F.floor(share / F.col("everyone").cast("decimal(19,0)")))
         .select("o_custkey", "target", "allocation")
     )
 

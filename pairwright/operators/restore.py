@@ -19,7 +19,7 @@ from pairwright.operators.ordering import (
     settle,
     within_cut,
 )
-from pairwright.operators.sampling import allocate_class_counts, class_counts
+from pairwright.operators.sampling import EVERYONE, allocate_class_counts, class_counts
 
 CONDITION = ("dataset", "retained_fraction_token", "seed")
 
@@ -62,17 +62,19 @@ class Restorer:
     def allocation(self) -> DataFrame:
         """One row per (condition, class): counts, duplicates, full cycles, rest."""
         if self._plan is None:
-            counts = settle(class_counts(self.retained, [*self.group, "_final"], self.label))
-            whole = Window.partitionBy(*self.group)
-            below = whole.orderBy(self.label).rowsBetween(Window.unboundedPreceding, -1)
-            sized = counts.withColumn("n_original", F.sum("n").over(whole)).withColumn(
-                "n_extra", F.col("_final") - F.col("n_original")
+            below = (
+                Window.partitionBy(*self.group)
+                .orderBy(self.label)
+                .rowsBetween(Window.unboundedPreceding, -1)
             )
             given = allocate_class_counts(
-                sized, [*self.group, "_final", "n_original"], "n_extra", self.label, minimum=0
+                class_counts(self.retained, [*self.group, "_final"], self.label),
+                [*self.group, "_final"], F.col("_final") - F.col(EVERYONE), self.label,
+                minimum=0, name="n_extra",
             )
             self._plan = settle(
                 given.withColumnRenamed("allocation", "duplicates")
+                .withColumnRenamed("everyone", "n_original")
                 .withColumn("class_offset", F.coalesce(F.sum("duplicates").over(below), F.lit(0)))
                 .withColumn("cycles", F.floor(F.col("duplicates") / F.col("n")).cast("long"))
                 .withColumn("_quota", (F.col("duplicates") % F.col("n")).cast("long"))

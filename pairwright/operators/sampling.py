@@ -30,11 +30,22 @@ def class_counts(rows: DataFrame, group: Sequence[str], label: str = "target") -
     return rows.groupBy(*group, label).agg(F.count(F.lit(1)).alias("n"))
 
 
+EVERYONE = "_everyone"
+
+
 def allocate_class_counts(
-    counts: DataFrame, group: Sequence[str], total: str, label: str = "target", minimum: int = 2
+    counts: DataFrame,
+    group: Sequence[str],
+    total: str | Column,
+    label: str = "target",
+    minimum: int = 2,
+    name: str = "total",
 ) -> DataFrame:
     """Split ``total`` of each group over its classes; one row per (group, class).
 
+    ``total`` is a column of ``counts`` that is constant in a group, or an expression
+    over the group columns and ``EVERYONE``, the rows of the group; ``name`` names it.
+
     Largest remainders: every class gets the whole part of its share, and the seats left
     go to the largest remainders, equal ones to the smaller label. A class below
     ``minimum`` is lifted from the largest class that can spare the rows. Products are
@@ -55,17 +66,20 @@ def allocate_class_counts(
         f"(seat, i) -> CASE WHEN {lack} = 0 THEN seat WHEN i = place THEN seat + {lack} "
         f"WHEN i = {donor} THEN seat - {lack} ELSE seat END))"
     )
+    keys = [*group, total] if isinstance(total, str) else list(group)
+    name = total if isinstance(total, str) else name
     return (
-        counts.groupBy(*group, total)
+        counts.groupBy(*keys)
         .agg(
             F.sort_array(
                 F.collect_list(
                     F.struct(F.col(label).alias("label"), F.col("n").cast("long").alias("n"))
                 )
             ).alias("_classes"),
-            F.sum("n").cast("long").alias("_everyone"),
-            F.max(F.col(total).cast("long")).alias("_total"),
+            F.sum("n").cast("long").alias(EVERYONE),
         )
+        .withColumn(name, F.col(total) if isinstance(total, str) else total.cast("long"))
+        .withColumn("_total", F.col(name).cast("long"))
         .withColumn(
             "_shares",
             F.expr(
@@ -89,10 +103,13 @@ def allocate_class_counts(
                 f"THEN {lifted if minimum else '_seats'} END"
             ),
         )
-        .select(*group, total, F.posexplode("_classes").alias("_i", "_class"), "_seats")
+        .select(
+            *group, name, EVERYONE, F.posexplode("_classes").alias("_i", "_class"), "_seats"
+        )
         .select(
             *group,
-            total,
+            name,
+            F.col(EVERYONE).alias("everyone"),
             F.col("_class.label").alias(label),
             F.col("_class.n").alias("n"),
             F.expr("get(_seats, _i)").alias("allocation"),
@@ -116,13 +133,11 @@ def allocation_violations(allocated: DataFrame, group: Sequence[str], total: str
 
 def held_out(counts: DataFrame, test_size: Decimal = TEST_SIZE, label: str = "target") -> DataFrame:
     """Test and train rows per class: ceil(test_size * n) test rows, split by class."""
-    share = F.lit(test_size).cast("decimal(9,8)")
-    total = counts.agg(F.sum("n").cast("long").alias("rows"))
-    wanted = total.select(
-        F.ceil(F.col("rows").cast("decimal(19,0)") * share).cast("long").alias("test_rows")
-    )
+    wanted = F.ceil(
+        F.col(EVERYONE).cast("decimal(19,0)") * F.lit(test_size).cast("decimal(9,8)")
+    ).cast("long")
     return (
-        allocate_class_counts(counts.join(F.broadcast(wanted)), [], "test_rows", label, minimum=0)
+        allocate_class_counts(counts, [], wanted, label, minimum=0, name="test_rows")
         .withColumnRenamed("allocation", "n_test")
         .withColumn("n_train", F.col("n") - F.col("n_test"))
     )
@@ -176,7 +191,7 @@ class Sampler:
         return self._once(
             "counts",
             lambda: settle(
-                held_out(settle(class_counts(self.rows, [], self.label)), self.test_size, self.label)
+                held_out(class_counts(self.rows, [], self.label), self.test_size, self.label)
             ),
         )
 
@@ -187,9 +202,7 @@ class Sampler:
     @property
     def split_cuts(self) -> DataFrame:
         def make() -> DataFrame:
-            quotas = settle(
-                self._seeded(self.counts.select(self.label, F.col("n_test").alias("_quota")))
-            )
+            quotas = self._seeded(self.counts.select(self.label, F.col("n_test").alias("_quota")))
             keyed = self._seeded(self.rows.select(self.row_id, self.label)).withColumn(
                 "_digest", self._digest(self.split_namespace)
             )
@@ -224,26 +237,18 @@ class Sampler:
         """Retained rows per (fraction, class): the prefix each subset keeps."""
 
         def make() -> DataFrame:
-            pool = self.counts.agg(F.sum("n_train").cast("long").alias("pool"))
-            totals = (
-                pool.withColumn(
-                    "retained_fraction",
-                    F.explode(
-                        F.array(*[F.lit(f).cast("decimal(3,2)") for f in self.fractions])
-                    ),
-                )
-                .withColumn(
-                    "retained_size",
-                    round_half_up(F.col("pool").cast("decimal(19,0)") * F.col("retained_fraction")),
-                )
+            levels = F.array(*[F.lit(f).cast("decimal(3,2)") for f in self.fractions])
+            counts = self.counts.select(
+                self.label, F.col("n_train").alias("n"),
+                F.explode(levels).alias("retained_fraction"),
             )
-            counts = self.counts.select(self.label, F.col("n_train").alias("n")).join(
-                F.broadcast(totals)
+            size = round_half_up(
+                F.col(EVERYONE).cast("decimal(19,0)") * F.col("retained_fraction")
             )
             return settle(
                 allocate_class_counts(
-                    counts, ["retained_fraction", "pool"], "retained_size", self.label
-                )
+                    counts, ["retained_fraction"], size, self.label, name="retained_size"
+                ).withColumnRenamed("everyone", "pool")
             )
 
         return self._once("allocations", make)
@@ -251,11 +256,9 @@ class Sampler:
     @property
     def subset_cuts(self) -> DataFrame:
         def make() -> DataFrame:
-            quotas = settle(
-                self._seeded(
-                    self.allocations.select(
-                        "retained_fraction", self.label, F.col("allocation").alias("_quota")
-                    )
+            quotas = self._seeded(
+                self.allocations.select(
+                    "retained_fraction", self.label, F.col("allocation").alias("_quota")
                 )
             )
             keyed = self.train(self.rows.select(self.row_id, self.label)).withColumn(
