@@ -26,8 +26,8 @@ def retained(spark: SparkSession, sf: str) -> tuple[DataFrame, F.Column, S.Sampl
 
 
 def restorer(spark: SparkSession, sf: str) -> restore.Restorer:
-    rows, pool, _ = retained(spark, sf)
-    return restore.Restorer(rows, pool, bucket_rows=2_000)
+    rows, pool, sample = retained(spark, sf)
+    return restore.Restorer(rows, pool, bucket_rows=2_000, counts=sample.retained_counts)
 
 
 SPLIT_SQL = LABELLED_SQL + """,

@@ -29,6 +29,8 @@ class Restorer:
 
     ``retained`` has the condition columns, a unique row id, a label and any
     features; ``final_size`` is a column that is constant within a condition.
+    ``counts`` may give the rows per (condition, class) if they are known already,
+    which saves a pass over the rows.
     """
 
     def __init__(
@@ -42,11 +44,16 @@ class Restorer:
         position: str | None = None,
         namespace: str = "pairwright.replication-order.v1",
         bucket_rows: int = BUCKET_ROWS,
+        counts: DataFrame | None = None,
     ) -> None:
         self.group, self.row_id, self.label = list(group), row_id, label
         self.position, self.namespace, self.bucket_rows = position, namespace, bucket_rows
         self.retained = retained.withColumn("_final", final_size.cast("long"))
+        self.counts = None if counts is None else counts.withColumn(
+            "_final", final_size.cast("long")
+        )
         self._plan: DataFrame | None = None
+        self._id_bucket: Column | None = None
         self._digits: int | None = None
 
     def _ordered(self, rows: DataFrame) -> DataFrame:
@@ -67,9 +74,11 @@ class Restorer:
                 .orderBy(self.label)
                 .rowsBetween(Window.unboundedPreceding, -1)
             )
+            known = self.counts
+            if known is None:
+                known = class_counts(self.retained, [*self.group, "_final"], self.label)
             given = allocate_class_counts(
-                class_counts(self.retained, [*self.group, "_final"], self.label),
-                [*self.group, "_final"], F.col("_final") - F.col(EVERYONE), self.label,
+                known, [*self.group, "_final"], F.col("_final") - F.col(EVERYONE), self.label,
                 minimum=0, name="n_extra",
             )
             self._plan = settle(
@@ -115,9 +124,9 @@ class Restorer:
         )
         rows = self.retained.drop("_final")
         if self.position is None:
-            rows = ranked(
-                rows, self.group, id_buckets(rows, self.row_id), [self.row_id], "_own"
-            )
+            if self._id_bucket is None:
+                self._id_bucket = id_buckets(rows, self.row_id)
+            rows = ranked(rows, self.group, self._id_bucket, [self.row_id], "_own")
         else:
             rows = rows.withColumnRenamed(self.position, "_own")
         ordered = self._ordered(rows)

@@ -253,6 +253,18 @@ class Sampler:
 
         return self._once("allocations", make)
 
+    @property
+    def retained_counts(self) -> DataFrame:
+        """Rows per (seed, fraction, class) of the subsets, known without reading them."""
+        return self._seeded(
+            self.allocations.select(
+                F.lit(self.dataset).alias("dataset"),
+                fraction_token(F.col("retained_fraction")).alias("retained_fraction_token"),
+                self.label,
+                F.col("allocation").alias("n"),
+            )
+        )
+
     @property
     def subset_cuts(self) -> DataFrame:
         def make() -> DataFrame:
