@@ -234,9 +234,8 @@ def q_manifest(spark, sf):
         UNION ALL SELECT 'artifact_bytes_mismatch', 'declared ' || db || ', listed ' || ab FROM t WHERE db <> ab""",
 )
 def q_totals(spark, sf):
-    totals = declared(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-    entries = actual(spark, sf).join(F.broadcast(totals))
-    return reconcile.manifest_totals(entries, F.col("n"), F.col("b"))
+    count, size = declared(spark, sf).agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    return reconcile.manifest_totals(actual(spark, sf), F.lit(count), F.lit(size))
 
 
 @query(
@@ -371,7 +370,8 @@ def q_key_manifest_gate(spark, sf):
     stored = observed.join(
         condition_grid(spark, SCORE_STUDY).select("key", F.col("ordinal").alias("pos")), "key"
     )
-    header = key_set_digest(
-        stored.withColumn("scope", F.lit("stored")), ["scope"], name="condition_keys_sha256"
-    ).join(stored.agg(F.count(F.lit(1)).alias("condition_count")))
+    scoped = stored.withColumn("scope", F.lit("stored"))
+    header = key_set_digest(scoped, ["scope"], name="condition_keys_sha256").join(
+        scoped.groupBy("scope").agg(F.count(F.lit(1)).alias("condition_count")), "scope"
+    )
     return key_manifest_violations(header, stored, SCORE_STUDY)

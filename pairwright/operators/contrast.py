@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.digests import bootstrap_seed
 from pairwright.functions.scores import interpret_interval
 from pairwright.operators.grid import STRATUM
+from pairwright.operators.ordering import side_by_side
 from pairwright.study import LABELS, RESAMPLES, Contrast, Study
 
 QUANTILES = (0.025, 0.975)
@@ -244,15 +245,13 @@ def accounting(
         F.count_distinct(*keys).alias(name)
     )
     per_stratum = replication.groupBy(*stratum).agg(F.count_distinct("seed").alias("pairs"))
-    return (
-        distinct(replication, "replication_keys")
-        .join(distinct(augmentation, "gaussian_keys"))
-        .join(distinct(baseline, "baseline_source_keys"))
-        .join(distinct(restrict_to_grid(baseline, grid, keys), "baseline_matched_keys"))
-        .join(
-            per_stratum.agg(
-                F.count(F.lit(1)).alias("strata"),
-                F.min("pairs").alias("paired_seeds_per_stratum"),
-            )
-        )
+    return side_by_side(
+        distinct(replication, "replication_keys"),
+        distinct(augmentation, "gaussian_keys"),
+        distinct(baseline, "baseline_source_keys"),
+        distinct(restrict_to_grid(baseline, grid, keys), "baseline_matched_keys"),
+        per_stratum.agg(
+            F.count(F.lit(1)).alias("strata"),
+            F.min("pairs").alias("paired_seeds_per_stratum"),
+        ),
     )

@@ -106,7 +106,7 @@ def key_manifest_violations(manifest: DataFrame, rows: DataFrame, study: Study)
     """Compare a stored key list ``rows(pos, key, ...)`` and its header row with the grid."""
     spark = rows.sparkSession
     grid = condition_grid(spark, study)
-    expected = key_manifest(spark, study, "expected")
+    expected = key_manifest(spark, study, "expected").first()
     counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     joined = counted.join(grid.select("key", "ordinal"), "key", "full_outer")
     per_key = joined.select(
@@ -117,13 +117,10 @@ def key_manifest_violations(manifest: DataFrame, rows: DataFrame, study: Study)
         .when(F.col("pos") != F.col("ordinal"), "key_out_of_order")
         .alias("code"),
     ).filter("code IS NOT NULL")
-    header = manifest.select("condition_count", "condition_keys_sha256").join(
-        F.broadcast(
-            expected.select(
-                F.col("condition_count").alias("want_count"),
-                F.col("condition_keys_sha256").alias("want_digest"),
-            )
-        )
+    header = manifest.select(
+        "condition_count", "condition_keys_sha256",
+        F.lit(expected["condition_count"]).alias("want_count"),
+        F.lit(expected["condition_keys_sha256"]).alias("want_digest"),
     )
     of_header = header.select(
         F.explode(

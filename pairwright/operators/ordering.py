@@ -9,6 +9,7 @@ a bucket. The bucket rule is repeatable, so a retried task cannot change a rank.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,12 @@ def settle(table: DataFrame, limit: int = SETTLE_ROWS) -> DataFrame:
     return F.broadcast(table.sparkSession.createDataFrame(head, schema=table.schema))
 
 
+def side_by_side(*totals: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), totals)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A plain table scan in at least as many partitions as there are cores.
 

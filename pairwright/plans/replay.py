@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.gates import prediction_gate, require_empty
 from pairwright.operators.ledger import reconcile_artifacts
+from pairwright.operators.ordering import side_by_side
 from pairwright.operators.reconcile import compare_predictions, compare_split_identity
 
 
@@ -37,8 +38,7 @@ def replay_report(
     )
     expected = grid.agg(F.count(F.lit(1)).alias("expected"))
     return (
-        compared.join(findings)
-        .join(expected)
+        side_by_side(compared, findings, expected)
         .withColumn(
             "status",
             F.when(

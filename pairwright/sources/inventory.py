@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.gates import GateError, ledger_gate, require_empty
 from pairwright.operators.grid import key_set_digest
+from pairwright.operators.ordering import side_by_side
 from pairwright.operators.reconcile import manifest_vs_files, package_digest, reuse_identity
 from pairwright.sources.tables import header_of, scan_metric_keys
 
@@ -139,9 +140,7 @@ def evidence_manifest(
         F.count(F.lit(1)).alias("reused_files"),
         F.coalesce(F.every("byte_identical"), F.lit(True)).alias("reuse_byte_identical"),
     )
-    return (
-        package_digest(inventory).join(missing).join(unexpected).join(reuse)
-    )
+    return side_by_side(package_digest(inventory), missing, unexpected, reuse)
 
 
 def bundle_violations(
