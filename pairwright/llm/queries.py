@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import simhash
+from pairwright.llm import language, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,15 @@ def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs)
+    return language.label(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_lang").alias("lang_pred"),
+        F.col("_lang_score").alias("score"),
+    )
