@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import language, packing, simhash
+from pairwright.llm import language, mixing, packing, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op2_source_mixing")
+def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mixture(docs, ["doc_id"]).select(
+        "row.doc_id",
+        "size",
+        "source_size",
+        "target",
+        mixing.taken_words(F.col("draws")).alias("taken"),
+    )
+
+
 @query("op6_packing")
 def token_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
