@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import language, mixing, packing, simhash
+from pairwright.llm import language, mixing, mtree, packing, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -47,6 +47,11 @@ def token_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
 
 
+@query("op7_mtree_top_k")
+def mtree_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return mtree.top_inner_products(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op8_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf, "documents"))
