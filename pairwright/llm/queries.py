@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import language, mixing, mtree, packing, simhash
+from pairwright.llm import graph, language, mixing, mtree, packing, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_pruned_graph_ann")
+def pruned_graph_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.nearest_by_cosine(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op2_source_mixing")
 def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
