@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import graph, language, mixing, mtree, packing, simhash
+from pairwright.llm import graph, language, mixing, mtree, packing, secrets, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,3 +77,18 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
         F.col("_lang").alias("lang_pred"),
         F.col("_lang_score").alias("score"),
     )
+
+
+@query("op10_secret_scan")
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
