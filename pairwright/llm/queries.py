@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import graph, language, mixing, mtree, packing, secrets, simhash
+from pairwright.llm import graph, language, mixing, mtree, packing, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -47,6 +47,18 @@ def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op4_toxicity")
+def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query("op6_packing")
 def token_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
