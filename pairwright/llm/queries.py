@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import graph, language, mixing, mtree, packing, secrets, simhash, toxicity
+from pairwright.llm import graph, language, line_dedup, mixing, mtree, packing, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -59,6 +59,19 @@ def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_fuzzy_line_dedup")
+def fuzzy_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    removed = line_dedup.with_removed(docs)
+    lines = F.size(F.split("row.text", "\n", -1))
+    return removed.select(
+        "row.doc_id",
+        F.when(F.col("row.text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        "removed",
+    )
+
+
 @query("op6_packing")
 def token_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)

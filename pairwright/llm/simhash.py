@@ -267,17 +267,16 @@ def print_links(
 
     ``prints`` has one row per distinct value in column ``print``.
     """
-    width = 64 // blocks
-    if blocks <= radius or blocks * width != 64:
-        raise ValueError("blocks must divide 64 and be more than radius")
-    mask = (1 << width) - 1
+    if blocks <= radius:
+        raise ValueError("there must be more blocks than the radius")
+    edges = [64 * b // blocks for b in range(blocks + 1)]
+    part = [
+        F.shiftrightunsigned(F.col("print"), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+        for low, high in zip(edges, edges[1:], strict=False)
+    ]
     choices = list(combinations(range(blocks), blocks - radius))
     keys = [
-        F.xxhash64(
-            F.lit(i),
-            *[F.shiftrightunsigned(F.col("print"), width * b).bitwiseAND(F.lit(mask)) for b in choice],
-        )
-        for i, choice in enumerate(choices)
+        F.xxhash64(F.lit(i), *[part[b] for b in choice]) for i, choice in enumerate(choices)
     ]
     spread = prints.select("print", F.explode(F.array(*keys)).alias("key"))
     crowded = (
