@@ -199,10 +199,7 @@ def label_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
 
 
 def span_labels(text: str | None, model: Model) -> list[tuple[int, int, str]]:
-    """``(start, end, language)`` of the runs of words in one language, in code points.
-
-    Offsets hold in the lower-cased text, which differs in length for a few letters only.
-    """
+    """``(start, end, language)`` of the runs of words in one language, in code points."""
     words = split_words([text])
     if not model.languages or not len(words.doc):
         return []

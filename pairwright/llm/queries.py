@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import graph, language, line_dedup, mixing, mtree, packing, secrets, simhash, toxicity
+from pairwright.llm import graph, language, licenses, line_dedup, mixing, mtree, packing, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -47,6 +47,18 @@ def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op3_license_scan")
+def license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf, "documents"))
+    span = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["start"], m["end"]))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.template")), ",").alias("templates"),
+        F.array_join(span, ",").alias("spans"),
+    )
+
+
 @query("op4_toxicity")
 def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")

@@ -67,10 +67,26 @@ class Words:
     scripts: np.ndarray  # script index of the first letter
 
 
-def split_words(texts: list[str | None]) -> Words:
-    joined = "\0" + "\0".join((t or "").replace("\0", " ").lower() for t in texts) + "\0"
+@lru_cache(maxsize=1)
+def alnum_table() -> np.ndarray:
+    """The script table with decimal digits as letters of no listed script."""
+    table = script_table().copy()
+    table[[c for c in range(0x110000) if chr(c).isdecimal()]] = 1
+    return table
+
+
+def lowered(text: str) -> str:
+    """Lower case with every character kept in its place."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
+
+
+def split_words(texts: list[str | None], digits: bool = False) -> Words:
+    joined = "\0" + "\0".join(lowered(t or "").replace("\0", " ") for t in texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    script = script_table()[codes]
+    script = (alnum_table() if digits else script_table())[codes]
     letter = script > 0
     edges = np.diff(letter.view(np.int8))
     starts = np.flatnonzero(edges == 1) + 1
@@ -80,6 +96,21 @@ def split_words(texts: list[str | None]) -> Words:
     return Words(codes, starts, sizes, doc, script[starts])
 
 
+def word_hashes(words: Words) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    if not len(words.sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(words.sizes) - words.sizes
+    inside = np.arange(words.sizes.sum()) - np.repeat(first, words.sizes)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(words.sizes.max()) + 1, 0x100000001B3, np.uint64))
+        code = words.codes[np.repeat(words.starts, words.sizes) + inside].astype(np.uint64)
+        mixed = np.add.reduceat(code * power[inside], first)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return mixed ^ (mixed >> np.uint64(32))
+
+
 def trigrams(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed letter trigrams of all words, word by word, and the first of each word.
 
