@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """``rows`` computed once and written to ``spark.checkpoint.dir``.
-
-    The folder is the session's own setting. Only a session without one (a test on one
-    machine) gets a temporary folder.
-    """
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a session without one (a test on one machine)
+    gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once and written to ``spark.checkpoint.dir``."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
+
+
+def reread(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written as Parquet below the checkpoint folder, and read from there."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.parquet(path)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import components
@@ -91,7 +91,7 @@ def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
 
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary())
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
@@ -100,7 +100,8 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             hashes = [shingle_hashes(t) for t in texts[start:stop].to_pylist()]
             prints = majority_bits(hashes).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[start:stop], pa.array(prints)], ["doc_id", "print"]
+                [*(c[start:stop] for c in batch.columns[:-1]), pa.array(prints)],
+                [*batch.schema.names[:-1], "print"],
             )
             start = stop
 
@@ -303,21 +304,51 @@ def print_links(
     )
 
 
+def print_groups(prints: DataFrame, radius: int = 2, blocks: int = 4, lanes: int = 1 << 13) -> DataFrame:
+    """``(print, root)`` of all distinct prints: a group's root is its smallest print."""
+    distinct = settled(prints.select("print").distinct())
+    roots = components(print_links(distinct, radius, blocks, lanes))
+    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn(
+        "root", F.coalesce("root", "print")
+    )
+
+
 def near_duplicates(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    radius: int = 2,
-    blocks: int = 4,
-    lanes: int = 1 << 13,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
 ) -> DataFrame:
     """``(doc_id, print, component_id)``, one row per row of ``docs``."""
     per_doc = settled(fingerprints(docs, doc_id, text))
     distinct = per_doc.groupBy("print").agg(F.min("doc_id").alias("low"))
-    roots = components(print_links(distinct.select("print"), radius, blocks, lanes))
-    rooted = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn(
-        "root", F.coalesce("root", "print")
-    )
+    rooted = distinct.join(print_groups(per_doc, **options), "print")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("print", "component_id")
     return per_doc.join(named, "print").select("doc_id", "print", "component_id")
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id, null last, of rows that share
+    it the one with the smallest text digest, and one of rows equal in both."""
+    keys = [
+        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("_doc"),
+        F.xxhash64(F.col(text)).alias("_text"),
+    ]
+    per_doc = settled(
+        docs.select(*keys, F.col(text).alias("text")).mapInArrow(
+            _print_batches, "_doc long, _text long, print long"
+        )
+    )
+    first = per_doc.groupBy("print").agg(F.min(F.struct("_doc", "_text")).alias("first"))
+    kept = (
+        first.join(print_groups(per_doc, **options), "print")
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select("first._doc", "first._text")
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
+    equal = Window.partitionBy("_doc", "_text").orderBy(F.lit(0))
+    return (
+        rows.join(kept, ["_doc", "_text"], "left_semi")
+        .withColumn("_copy", F.row_number().over(equal))
+        .filter(F.col("_copy") == 1)
+        .select("row.*")
+    )
