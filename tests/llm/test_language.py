@@ -5,6 +5,8 @@ from itertools import product
 
 import numpy as np
 
+from llm_fixtures import edge_docs, no_docs  # noqa: F401  (fixtures)
+
 from pairwright.llm import language
 from pairwright.llm.queries import QUERIES
 

@@ -12,6 +12,8 @@ import urllib.parse
 import numpy as np
 import pytest
 
+from llm_fixtures import edge_docs, no_docs, small  # noqa: F401  (fixtures)
+
 from pairwright.llm import licenses, line_dedup, secrets
 from pairwright.llm.queries import QUERIES
 

@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import edge_docs, no_docs, small  # noqa: F401  (fixtures)
+
 from pairwright.llm import mixing
 from pairwright.llm.queries import QUERIES
 

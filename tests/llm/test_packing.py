@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from llm_fixtures import edge_docs, no_docs, small  # noqa: F401  (fixtures)
+
 from pairwright.llm import packing
 from pairwright.llm.queries import QUERIES, TOKENIZER
 

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from llm_fixtures import edge_docs, no_docs, small  # noqa: F401  (fixtures)
+
 from pairwright.llm import simhash
 from pairwright.llm.components import components
 from pairwright.llm.queries import QUERIES

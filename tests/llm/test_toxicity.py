@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
+from llm_fixtures import edge_docs, no_docs, small  # noqa: F401  (fixtures)
+
 from pairwright.llm import toxicity
 from pairwright.llm.queries import QUERIES
 

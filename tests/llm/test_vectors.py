@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import small  # noqa: F401  (fixtures)
+
 from pairwright.llm import graph, mtree
 from pairwright.llm.queries import QUERIES
 
