@@ -154,11 +154,6 @@ def rounded(rows: DataFrame) -> DataFrame:
     )
 
 
-@query("paired_bootstrap_pcg64")
-def q_pcg64(spark, sf):
-    return rounded(C.stratum_summaries(differences(spark, sf), SCORE_STUDY, pcg64=True))
-
-
 @query(
     "interpretation_counts",
     f"""WITH {BOOT_SQL} SELECT contrast, count(*) FILTER (interpretation = 'harmful') AS harmful,

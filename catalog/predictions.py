@@ -37,8 +37,8 @@ ref AS (
 
 
 def rerun(spark: SparkSession, sf: str) -> DataFrame:
-    """The same archives with one change in each of four: a shifted probability, a
-    lost last row, a flipped label, a probability that is not a number."""
+    """The same archives with one change in each of five: a shifted probability, a lost
+    last row, a flipped label, a probability that is not a number, an infinite one."""
     rows = stored(spark, sf)
     priority, half = F.col("o_orderpriority"), F.col("half")
     first = F.col("pos") == 0
@@ -59,6 +59,10 @@ def rerun(spark: SparkSession, sf: str) -> DataFrame:
                 F.col("probability") + F.lit(2e-4).cast("float"),
             )
             .when((priority == "5-LOW") & (half == 1) & first, F.lit(float("nan")).cast("float"))
+            .when(
+                (priority == "4-NOT SPECIFIED") & (half == 1) & first,
+                F.lit(float("inf")).cast("float"),
+            )
             .otherwise(F.col("probability"))
             .cast("float"),
         )
@@ -72,6 +76,7 @@ cand AS (
          CASE WHEN o_orderpriority = '3-MEDIUM' AND half = 0 AND pos = 0 THEN 1 - y_true ELSE y_true END AS y_true,
          CASE WHEN o_orderpriority = '1-URGENT' AND half = 0 AND pos = 0 THEN probability + CAST(2e-4 AS FLOAT)
               WHEN o_orderpriority = '5-LOW' AND half = 1 AND pos = 0 THEN CAST('nan' AS FLOAT)
+              WHEN o_orderpriority = '4-NOT SPECIFIED' AND half = 1 AND pos = 0 THEN CAST('inf' AS FLOAT)
               ELSE probability END AS probability
   FROM (SELECT *, max(pos) OVER (PARTITION BY o_orderpriority, half) AS last_pos FROM ref)
   WHERE NOT (o_orderpriority = '2-HIGH' AND half = 0 AND pos = last_pos))"""
@@ -186,7 +191,7 @@ def q_running(spark, sf):
         broken AS (SELECT * FROM cand UNION ALL SELECT o_orderpriority, half, test_index, pos, y_true, probability FROM cand
                    WHERE o_orderpriority = '4-NOT SPECIFIED' AND half = 0 AND pos < 3),
         g AS (SELECT o_orderpriority, half, count(*) AS n, count(DISTINCT test_index) AS ids, max(pos) AS last_pos,
-              sum(CAST(isnan(probability) AS INT)) AS nan_rows FROM broken GROUP BY ALL)
+              sum(CAST(isnan(probability) OR isinf(probability) AS INT)) AS nan_rows FROM broken GROUP BY ALL)
         SELECT o_orderpriority, half, 'duplicate_test_index' AS code FROM g WHERE n > ids
         UNION ALL SELECT o_orderpriority, half, 'array_length_mismatch' FROM g WHERE last_pos + 1 <> n
         UNION ALL SELECT o_orderpriority, half, 'nonfinite_probability' FROM g WHERE nan_rows > 0""",
@@ -217,7 +222,7 @@ pairs AS (
          r.test_index IS NOT DISTINCT FROM c.test_index AS same_index, r.y_true IS NOT DISTINCT FROM c.y_true AS same_label,
          r.test_index IS NOT NULL AND c.test_index IS NOT NULL AS both_there,
          c.probability IS NULL OR (NOT isnan(c.probability) AND c.probability BETWEEN 0 AND 1) AS bounded,
-         (c.probability IS NULL OR NOT isnan(c.probability)) AS finite,
+         (c.probability IS NULL OR NOT (isnan(c.probability) OR isinf(c.probability))) AS finite,
          abs(r.probability - c.probability) AS gap, (r.probability >= 0.5) = (c.probability >= 0.5) AS same_side
   FROM ref r FULL JOIN cand c ON r.o_orderpriority = c.o_orderpriority AND r.half = c.half AND r.pos = c.pos),
 g AS (
@@ -239,7 +244,11 @@ j AS (
        ready AND gap <= 1e-6 AS probability_within_tolerance, ready AND same_side AS thresholded_prediction_exact,
        CASE WHEN ready THEN gap END AS maximum_probability_difference,
        coalesce(measured AND d_auc <= 1e-12, FALSE) AS metric_roc_auc_within_tolerance,
+       coalesce(measured AND d_p = 0, FALSE) AS metric_precision_within_tolerance,
+       coalesce(measured AND d_r = 0, FALSE) AS metric_recall_within_tolerance,
        coalesce(measured AND d_f = 0, FALSE) AS metric_f1_within_tolerance,
+       coalesce(measured AND d_a = 0, FALSE) AS metric_accuracy_within_tolerance,
+       coalesce(measured AND d_ap <= 1e-12, FALSE) AS metric_average_precision_within_tolerance,
        CASE WHEN measured THEN round(d_ap, 9) END AS difference_average_precision,
        CASE WHEN test_index_exact AND y_true_exact AND probability_shape_exact AND probability_finite_and_bounded AND ready AND gap <= 1e-6
             AND same_side AND d_auc <= 1e-12 AND d_ap <= 1e-12 AND d_p = 0 AND d_r = 0 AND d_f = 0 AND d_a = 0
@@ -251,7 +260,7 @@ def q_compare(spark, sf):
         *KEY, "test_index_exact", "y_true_exact", "probability_shape_exact",
         "probability_finite_and_bounded", "probability_within_tolerance",
         "thresholded_prediction_exact", "maximum_probability_difference",
-        "metric_roc_auc_within_tolerance", "metric_f1_within_tolerance",
+        *[f"metric_{m}_within_tolerance" for m in metrics.METRICS],
         F.round("difference_average_precision", 9).alias("difference_average_precision"), "status",
     )
 

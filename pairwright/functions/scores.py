@@ -10,6 +10,7 @@ from pairwright.study import HARMFUL, HELPFUL, NO_CLEAR, PRACTICAL_THRESHOLD
 # 128 steps per power of two: at most 65,536 neighbouring FLOAT values share a step.
 STEPS_PER_OCTAVE = 128
 _LOWEST_EXPONENT = 150
+_BEYOND = 1 << 40  # the step of infinity; NaN, which sorts last, has the one behind it
 
 
 def round_half_up(value: Column) -> Column:
@@ -48,10 +49,16 @@ def score_bucket(score: Column) -> Column:
 
     Depends on the value alone, so a retried task puts a row where it was before.
     A bucket holds at most 65,536 distinct FLOAT values, however skewed the data.
+    Infinities and NaN have buckets of their own.
     """
     steps = lambda magnitude: F.floor(
         (F.log2(magnitude.cast("double")) + _LOWEST_EXPONENT) * STEPS_PER_OCTAVE
     )
     return (
-        F.when(score > 0, steps(score) + 1).when(score < 0, -steps(-score) - 1).otherwise(0)
+        F.when(F.isnan(score), _BEYOND + 1)
+        .when(score == float("inf"), _BEYOND)
+        .when(score == float("-inf"), -_BEYOND)
+        .when(score > 0, steps(score) + 1)
+        .when(score < 0, -steps(-score) - 1)
+        .otherwise(0)
     ).cast("long")

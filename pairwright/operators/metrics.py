@@ -18,13 +18,19 @@ METRICS = ("roc_auc", "precision", "recall", "f1", "accuracy", "average_precisio
 _COUNT = "decimal(19,0)"
 
 
+def _positive(label: str) -> Column:
+    """Whether a label is 1; a missing label fails the job rather than fall out of a metric."""
+    missing = F.raise_error(F.lit(f"null in label column {label}")).cast("boolean")
+    return F.when(F.col(label).isNull(), missing).otherwise(F.col(label) == 1)
+
+
 def distinct_scores(
     predictions: DataFrame, group: Sequence[str], label: str, score: str
 ) -> DataFrame:
     """Positives ``p1`` and negatives ``p0`` per (group, bucket, score)."""
     if dict(predictions.dtypes)[score] != "float":
         raise TypeError(f"{score} must be a FLOAT column")
-    positive = F.col(label) == 1
+    positive = _positive(label)
     return (
         predictions.groupBy(*group, F.col(score).alias("_score"))
         .agg(F.count_if(positive).alias("p1"), F.count_if(~positive).alias("p0"))
@@ -156,7 +162,7 @@ def threshold_metrics(
     threshold: float = 0.5,
 ) -> DataFrame:
     """Precision, recall, F1 and accuracy at ``score >= threshold``; 0 for 0/0."""
-    chosen, positive = F.col(score) >= F.lit(threshold), F.col(label) == 1
+    chosen, positive = F.col(score) >= F.lit(threshold), _positive(label)
     return (
         predictions.groupBy(*group)
         .agg(

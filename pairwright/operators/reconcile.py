@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.operators.metrics import METRICS, evaluate, usable
-from pairwright.operators.ordering import ordered_digest, range_bucket, ranked, splitters
+from pairwright.operators.ordering import (
+    ordered_digest,
+    range_bucket,
+    ranked,
+    settle,
+    splitters,
+)
 
 
 def distinct_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,10 +172,17 @@ def compare_predictions(
         )
         .withColumn("_ready", F.col("probability_shape_exact") & F.col("_finite"))
     )
-    left = evaluate(reference, keys).select(*keys, *[F.col(m).alias(f"l_{m}") for m in METRICS])
-    right = evaluate(candidate, keys).select(*keys, *[F.col(m).alias(f"k_{m}") for m in METRICS])
-    metrics = left.join(right, list(keys))
     measured = F.col("_ready") & F.col("probability_finite_and_bounded") & F.col("_binary")
+    rows = settle(rows)
+    # one bad row must not stop the report: only archives with usable rows alone are measured
+    sound = rows.filter(measured).select(*keys)
+    left, right = (
+        evaluate(side.join(sound, list(keys), "left_semi"), keys).select(
+            *keys, *[F.col(m).alias(f"{mark}_{m}") for m in METRICS]
+        )
+        for side, mark in ((reference, "l"), (candidate, "k"))
+    )
+    metrics = left.join(right, list(keys))
     difference = lambda m: F.when(
         measured, F.abs(F.col(f"l_{m}") - F.col(f"k_{m}"))
     )

@@ -19,7 +19,13 @@ from pairwright.operators.ordering import (
     settle,
     within_cut,
 )
-from pairwright.operators.sampling import EVERYONE, allocate_class_counts, class_counts
+from pairwright.operators.gates import require_empty
+from pairwright.operators.sampling import (
+    EVERYONE,
+    allocate_class_counts,
+    allocation_violations,
+    class_counts,
+)
 
 CONDITION = ("dataset", "retained_fraction_token", "seed")
 
@@ -81,6 +87,11 @@ class Restorer:
                 known, [*self.group, "_final"], F.col("_final") - F.col(EVERYONE), self.label,
                 minimum=0, name="n_extra",
             )
+            given = settle(given)
+            require_empty(
+                allocation_violations(given, [*self.group, "_final"], "n_extra"),
+                "rows to add",
+            )
             self._plan = settle(
                 given.withColumnRenamed("allocation", "duplicates")
                 .withColumnRenamed("everyone", "n_original")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.digests import draw_digest
 from pairwright.functions.keys import fraction_token
 from pairwright.functions.scores import round_half_up
+from pairwright.operators.gates import require_empty
 from pairwright.operators.ordering import (
     BUCKET_ROWS,
     digest_cutoffs,
@@ -245,11 +246,16 @@ class Sampler:
             size = round_half_up(
                 F.col(EVERYONE).cast("decimal(19,0)") * F.col("retained_fraction")
             )
-            return settle(
+            given = settle(
                 allocate_class_counts(
                     counts, ["retained_fraction"], size, self.label, name="retained_size"
-                ).withColumnRenamed("everyone", "pool")
+                )
+            )
+            require_empty(
+                allocation_violations(given, ["retained_fraction"], "retained_size"),
+                f"retained rows of {self.dataset}",
             )
+            return given.withColumnRenamed("everyone", "pool")
 
         return self._once("allocations", make)
 
