@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from catalog.base import FRACTIONS, LABELLED_SQL, SEEDS, labelled, query, table
 from pairwright.operators import ledger, restore
 from pairwright.operators import sampling as S
-from pairwright.operators.ordering import digest_bucket, id_bucket, ranked
+from pairwright.operators.ordering import digest_bucket, digest_digits, id_bucket, ranked
 
 NAME = "orders"
 GROUP = list(restore.CONDITION)
 
 
-def sampler(spark: SparkSession, sf: str, bucket_rows: int = 2_000) -> S.Sampler:
-    # A small bucket size, so that the bucketed path runs at every scale factor.
-    return S.Sampler(labelled(spark, sf), NAME, SEEDS, FRACTIONS, bucket_rows=bucket_rows)
+def sampler(spark: SparkSession, sf: str) -> S.Sampler:
+    return S.Sampler(labelled(spark, sf), NAME, SEEDS, FRACTIONS)
 
 
 def retained(spark: SparkSession, sf: str) -> tuple[DataFrame, F.Column, S.Sampler]:
@@ -27,7 +26,7 @@ def retained(spark: SparkSession, sf: str) -> tuple[DataFrame, F.Column, S.Sampl
 
 def restorer(spark: SparkSession, sf: str) -> restore.Restorer:
     rows, pool, sample = retained(spark, sf)
-    return restore.Restorer(rows, pool, bucket_rows=2_000, counts=sample.retained_counts)
+    return restore.Restorer(rows, pool, counts=sample.retained_counts)
 
 
 SPLIT_SQL = LABELLED_SQL + """,
@@ -249,7 +248,7 @@ def q_retained(spark, sf):
 )
 def q_ordered(spark, sf):
     rows = sampler(spark, sf).subsets().select("seed", "retained_fraction_token", "row_id")
-    return ranked(rows, ["seed", "retained_fraction_token"], id_bucket(F.col("row_id"), 1024),
+    return ranked(rows, ["seed", "retained_fraction_token"], id_bucket(F.col("row_id")),
                   ["row_id"], "pos")
 
 
@@ -261,7 +260,8 @@ def q_rank(spark, sf):
     """Digest rank of every retained row in its condition and class."""
     rows = restorer(spark, sf)
     ordered = rows._ordered(rows.retained)
-    return ranked(ordered, [*GROUP, "target"], digest_bucket(F.col("_digest"), 2),
+    largest = sampler(spark, sf).largest_class  # no class of a condition has more rows
+    return ranked(ordered, [*GROUP, "target"], digest_bucket(F.col("_digest"), digest_digits(largest)),
                   ["_digest", "row_id"], "rank").select(
         "retained_fraction_token", "seed", "target", "row_id", "rank"
     )

@@ -14,24 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SETTLE_ROWS = 100_000  # a broadcast table never has more rows than this
+from pairwright.operators.shared import settle
+
 BUCKET_ROWS = 1_000_000  # rows one digest bucket should hold
 ID_STEP = 1 << 20  # unique ids per id bucket
 CHUNK = 1 << 20  # ordered values per digest chunk
 
 
-def settle(table: DataFrame, limit: int = SETTLE_ROWS) -> DataFrame:
-    """Evaluate a small table once and hand back its rows, marked for broadcast.
-
-    The size is checked: above ``limit`` rows the table is checkpointed to
-    ``spark.checkpoint.dir`` instead and joins with it shuffle as usual.
-    """
-    head = table.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
-        return table.checkpoint()
-    return F.broadcast(table.sparkSession.createDataFrame(head, schema=table.schema))
-
-
 def side_by_side(*totals: DataFrame) -> DataFrame:
     """One-row tables with different columns as one row, without a join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), totals)

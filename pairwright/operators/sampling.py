@@ -325,7 +325,7 @@ def subset_gaps(subsets: DataFrame, row_id: str = "row_id") -> DataFrame:
     expected = levels.withColumn("want_levels", F.row_number().over(down))
     return (
         kept.join(
-            F.broadcast(expected.withColumnRenamed("retained_fraction", "first_fraction")),
+            expected.withColumnRenamed("retained_fraction", "first_fraction"),
             ["seed", "first_fraction"],
         )
         .filter(F.col("kept_levels") != F.col("want_levels"))

@@ -94,7 +94,7 @@ def source_manifest(
             key_set_digest(keys, ["path"], name="keys_sha256"), "path"
         ).withColumn("columns", F.lit(",".join(found)))
         reports = report if reports is None else reports.unionByName(report)
-    return inventory if reports is None else inventory.join(F.broadcast(reports), "path", "left")
+    return inventory if reports is None else inventory.join(reports, "path", "left")
 
 
 def manifest_drift(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:

@@ -74,8 +74,10 @@ def with_row_id(scan: DataFrame) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    return marked.join(blocks, ["_file", "_block"]).select(
-        (F.col("_before") + F.col("_id") - F.col("_first")).cast("long").alias("row_id"), *columns
+    lost = F.raise_error(F.lit("a file block was cut differently between two scans"))
+    number = (F.col("_before") + F.col("_id") - F.col("_first")).cast("long")
+    return marked.join(blocks, ["_file", "_block"], "left").select(
+        F.when(F.col("_before").isNull(), lost.cast("long")).otherwise(number).alias("row_id"), *columns
     )
 
 
