@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.keys import condition_key, fraction_token
 from pairwright.operators.grid import condition_grid
-from pairwright.operators.ordering import spread
+from pairwright.operators.ordering import CHUNK, spread
 from pairwright.study import Study, decimals, scarcity_study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def digest_sql(value: str, order: str, only: str = "", glue: str = "','", end: str = "''") -> str:
+    """The chunked digest of ``operators.ordering.ordered_digest`` as a DuckDB aggregate."""
+    values = f"(list(CAST({value} AS VARCHAR) ORDER BY {order}){only})"
+    chunk = f"array_to_string({values}[k + 1 : k + {CHUNK}], {glue}) || {end}"
+    return (
+        f"sha256('{CHUNK}:' || array_to_string(list_transform(range(0, len{values}, {CHUNK}), "
+        f"lambda k: sha256({chunk})), ','))"
+    )
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import (
+    digest_sql,
     DIRTY_SQL,
     KEY_SQL,
     RUNS_SQL,
@@ -250,7 +251,7 @@ def q_reuse(spark, sf):
 @query(
     "package_digest",
     f"""WITH {FILES_SQL} SELECT count(*) AS file_count, CAST(sum(bytes) AS BIGINT) AS bytes,
-        sha256(string_agg(path || chr(9) || bytes || chr(9) || sha256 || chr(10), '' ORDER BY path)) AS identity_sha256 FROM actual""",
+        {digest_sql('path || chr(9) || bytes || chr(9) || sha256', 'path', '', 'chr(10)', 'chr(10)')} AS identity_sha256 FROM actual""",
 )
 def q_package(spark, sf):
     return reconcile.package_digest(actual(spark, sf))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import FRACTIONS, LABELLED_SQL, SEEDS, labelled, query, table
+from catalog.base import FRACTIONS, LABELLED_SQL, SEEDS, digest_sql, labelled, query, table
 from pairwright.operators import ledger, restore
 from pairwright.operators import sampling as S
 from pairwright.operators.ordering import digest_bucket, digest_digits, id_bucket, ranked
@@ -325,8 +325,8 @@ def q_balance(spark, sf):
     )
 
 
-_ORIGINALS = "sha256(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY pos) FILTER (NOT is_duplicate))"
-_DUPLICATES = "sha256(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY pos) FILTER (is_duplicate))"
+_ORIGINALS = digest_sql("row_id", "pos", " FILTER (NOT is_duplicate)")
+_DUPLICATES = digest_sql("row_id", "pos", " FILTER (is_duplicate)")
 
 
 @query(
@@ -334,8 +334,8 @@ _DUPLICATES = "sha256(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY pos) FILT
     f"""WITH {RANK_SQL} SELECT retained_fraction_token, seed, max(n_original) AS original_count,
         count(*) - max(n_original) AS duplicate_count, count(*) AS final_count,
         {_ORIGINALS} AS original_source_indices_sha256, {_DUPLICATES} AS duplicate_source_indices_sha256,
-        sha256(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY pos)) AS final_source_indices_sha256,
-        sha256(string_agg(CAST(target AS VARCHAR), ',' ORDER BY pos)) AS final_target_labels_sha256,
+        {digest_sql('row_id', 'pos')} AS final_source_indices_sha256,
+        {digest_sql('target', 'pos')} AS final_target_labels_sha256,
         sha256('{{"class_labels":[0,1],"dataset":"orders","namespace":"pairwright.replication-order.v1","retained_fraction_token":"'
           || retained_fraction_token || '","split_seed":' || seed || '}}') AS canonical_contract_sha256
         FROM restored GROUP BY retained_fraction_token, seed""",
@@ -351,7 +351,7 @@ def q_audit(spark, sf):
     f"""WITH {RANK_SQL} SELECT retained_fraction_token, seed, target, count(*) AS retained_source_count,
         CAST(sum(copies) AS BIGINT) AS duplicate_count, min(copies) AS minimum_duplicates_per_source,
         max(copies) AS maximum_duplicates_per_source,
-        sha256(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY rank)) AS ranked_source_indices_sha256,
+        {digest_sql('row_id', 'rank')} AS ranked_source_indices_sha256,
         max((SELECT {_DUPLICATES} FROM restored r WHERE r.seed = counted.seed AND r.target = counted.target
          AND r.retained_fraction_token = counted.retained_fraction_token)) AS duplicate_source_indices_sha256
         FROM counted GROUP BY retained_fraction_token, seed, target""",
@@ -431,7 +431,7 @@ def q_gate_input(spark, sf):
     "condition_profile",
     f"""WITH {SUBSET_SQL} SELECT seed, retained_fraction_token, count(*) AS retained_size,
         count(*) FILTER (target = 0) AS retained_negative, count(*) FILTER (target = 1) AS retained_positive,
-        sha256(string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id)) AS retained_ids_sha256 FROM subsets GROUP BY seed, retained_fraction_token""",
+        {digest_sql('row_id', 'row_id')} AS retained_ids_sha256 FROM subsets GROUP BY seed, retained_fraction_token""",
 )
 def q_profile(spark, sf):
     group = ["seed", "retained_fraction_token"]

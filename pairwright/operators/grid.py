@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.keys import condition_key, fraction_token
-from pairwright.operators.ordering import ordered_digest, ranked
 from pairwright.study import Study
 
 IDENTITY = ("dataset", "retained_fraction", "retained_fraction_token", "seed", "model")
@@ -89,10 +88,13 @@ def canonical_order(rows: DataFrame, study: Study) -> DataFrame:
 def key_set_digest(
     rows: DataFrame, group: list[str], key: str = "key", name: str = "keys_sha256"
 ) -> DataFrame:
-    """SHA-256 of the distinct sorted keys, one per line."""
-    keys = rows.select(*group, key).distinct()
-    placed = ranked(keys, group, F.lit(0), [key], "_pos")
-    return ordered_digest(placed, group, "_pos", glue="\n", **{name: F.col(key)})
+    """SHA-256 of the distinct sorted keys, one per line.
+
+    For keys of a declared study, whose number does not grow with the data.
+    """
+    keys = F.sort_array(F.collect_set(key))
+    text = F.concat(F.array_join(keys, "\n"), F.lit("\n"))
+    return rows.groupBy(*group).agg(F.sha2(text, 256).alias(name))
 
 
 def key_manifest(spark: SparkSession, study: Study, scope: str) -> DataFrame:

@@ -159,24 +159,27 @@ def ordered_digest(
 ) -> DataFrame:
     """SHA-256 of the values of each group, joined in the order of ``pos``.
 
-    ``pos`` is dense from zero. Up to 1,048,576 values this is the plain digest of the
-    joined text. A longer sequence is cut into chunks of that many values and the
-    digest is taken over the chunk digests, so no task holds a whole group.
+    ``pos`` is dense from zero. Every sequence is cut into chunks of ``CHUNK`` values, so
+    no task holds a whole group. The digest is that of the text ``CHUNK:`` followed by
+    the digests of the chunks, comma-joined: one definition at every length.
     """
     end = "\n" if glue == "\n" else ""
 
-    def joined(place: str, value: Column) -> Column:
+    def listed(place: str, value: Column) -> Column:
         items = F.collect_list(F.struct(F.col(place).alias("p"), value.cast("string").alias("v")))
-        return F.sha2(F.concat(F.array_join(F.sort_array(items)["v"], glue), F.lit(end)), 256)
+        return F.sort_array(items)["v"]
 
     chunks = rows.groupBy(*group, F.floor(F.col(pos) / CHUNK).cast("long").alias("_chunk")).agg(
-        *[joined(pos, value).alias(name) for name, value in values.items()]
+        *[
+            F.sha2(F.concat(F.array_join(listed(pos, value), glue), F.lit(end)), 256).alias(name)
+            for name, value in values.items()
+        ]
     )
     return chunks.groupBy(*group).agg(
         *[
-            F.when(F.count(F.lit(1)) == 1, F.max(name))
-            .otherwise(joined("_chunk", F.col(name)))
-            .alias(name)
+            F.sha2(
+                F.concat(F.lit(f"{CHUNK}:"), F.array_join(listed("_chunk", F.col(name)), ",")), 256
+            ).alias(name)
             for name in values
         ]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.digests import is_sha256, order_digest, payload_digest
 from pairwright.operators.ordering import (
     BUCKET_ROWS,
+    CHUNK,
     digest_bucket,
     digest_cutoffs,
     digest_digits,
@@ -256,8 +258,8 @@ class Restorer:
         return counts.join(wide, group)
 
 
-# Fixed value: SHA-256 of the empty text.
-EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+# The digest of a sequence without values.
+EMPTY_SHA256 = hashlib.sha256(f"{CHUNK}:".encode()).hexdigest()
 
 
 def restoration_input_violations(

@@ -87,7 +87,8 @@ def test_inventory_and_evidence(spark, tmp_path):
     files = sorted(p for p in full.rglob("*") if p.is_file())
     want = sorted((p.relative_to(full).as_posix(), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files)
     assert rows(found, "path", "bytes", "sha256") == want
-    identity = hashlib.sha256("".join(f"{a}\t{b}\t{c}\n" for a, b, c in want).encode()).hexdigest()
+    lines = hashlib.sha256("".join(f"{a}\t{b}\t{c}\n" for a, b, c in want).encode()).hexdigest()
+    identity = hashlib.sha256(f"{1 << 20}:{lines}".encode()).hexdigest()
     assert package_digest(found).first()["identity_sha256"] == identity
     keys = spark.createDataFrame([("k0",), ("k1",)], "key STRING")
     earlier = inventory.file_inventory(spark, str(pilot))
