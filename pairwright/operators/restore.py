@@ -313,8 +313,14 @@ def restoration_violations(
     group: Sequence[str] = CONDITION,
     row_id: str = "row_id",
     label: str = "target",
+    planned: DataFrame | None = None,
 ) -> DataFrame:
-    """Check size, class counts, order of originals and blocks, and the positions."""
+    """Check size, class counts, order of originals and blocks, and the positions.
+
+    ``planned``, the retained rows with their ``copies`` (:meth:`Restorer.copies`), adds the
+    test of membership: each retained row stands once, with its planned duplicates, and no
+    other row stands at all.
+    """
     per_class = restored.groupBy(*group, label).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.expr("NOT is_duplicate")).alias("originals"),
@@ -342,9 +348,35 @@ def restoration_violations(
         ),
         F.when(F.col("all_pos") * 2 != size * (size - 1), "positions_not_dense"),
     )
-    return checked.select(
+    found = checked.select(
         *group, label, F.explode(F.filter(codes, lambda code: code.isNotNull())).alias("code")
     )
+    if planned is None:
+        return found
+    return found.unionByName(membership_violations(restored, planned, [*group, label], row_id))
+
+
+def membership_violations(
+    restored: DataFrame, planned: DataFrame, keys: Sequence[str], row_id: str = "row_id"
+) -> DataFrame:
+    """Classes with a row that was never retained, is missing, or has the wrong copies."""
+    held = restored.groupBy(*keys, row_id).agg(
+        F.count_if(~F.col("is_duplicate")).alias("_originals"),
+        F.count_if("is_duplicate").alias("_duplicates"),
+    )
+    wanted = planned.select(*keys, row_id, F.col("copies").alias("_copies"))
+    both = held.join(wanted, [*keys, row_id], "full_outer")
+    codes = F.array(
+        F.when(F.col("_copies").isNull(), "row_never_retained"),
+        F.when(
+            F.col("_copies").isNotNull() & (F.coalesce("_originals", F.lit(0)) != 1),
+            "original_missing_or_repeated",
+        ),
+        F.when(F.coalesce("_duplicates", F.lit(0)) != F.col("_copies"), "wrong_copies_of_row"),
+    )
+    return both.select(
+        *keys, F.explode(F.filter(codes, lambda code: code.isNotNull())).alias("code")
+    ).distinct()
 
 
 def allocation_record_violations(

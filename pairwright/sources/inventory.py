@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,24 +53,42 @@ def write_once(rows: DataFrame, path: str) -> str:
     """Write ``rows`` as Parquet, or find the very same rows there.
 
     Returns ``written`` or ``unchanged``; other content at ``path`` is an error and
-    stays as it is. Readers see a complete output or none.
+    stays as it is. The rows are written beside ``path`` and renamed when complete, and a
+    folder there without its success marker, left by a failed job, counts as absent.
     """
     spark = rows.sparkSession
-    try:
-        rows.write.mode("errorifexists").parquet(path)
-        return "written"
-    except AnalysisException as problem:
-        if "PATH_ALREADY_EXISTS" not in str(problem):
-            raise
-    stored = spark.read.parquet(path)
-    if set(stored.columns) != set(rows.columns) or not same_content(stored, rows):
-        raise GateError(f"different content already stored at {path}")
-    return "unchanged"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if files.exists(mark):
+        stored = spark.read.parquet(path)
+        if set(stored.columns) != set(rows.columns) or not same_content(stored, rows):
+            raise GateError(f"different content already stored at {path}")
+        return "unchanged"
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    if files.exists(place):
+        files.delete(place, True)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), place):
+        raise GateError(f"could not move the complete output to {path}")
+    return "written"
 
 
 def append_ledger(rows: DataFrame, path: str, run: str = "run") -> None:
-    """Append terminal rows, gated first, to the ledger partitioned by run."""
+    """Append terminal rows, gated first, to the ledger partitioned by run.
+
+    A key has one terminal row in a run: repeats inside the batch and keys that the
+    stored ledger already has are refused.
+    """
+    spark = rows.sparkSession
     require_empty(ledger_gate(rows, [run, "key"]), "ledger rows")
+    twice = rows.groupBy(run, "key").count().filter("count > 1")
+    require_empty(twice.select(run, "key", F.lit("repeated_in_batch").alias("code")), "ledger rows")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        stored = spark.read.schema(rows.select(run, "key").schema).parquet(path)
+        there = rows.select(run, "key").join(stored, [run, "key"], "left_semi")
+        require_empty(there.withColumn("code", F.lit("already_terminal")), "ledger rows")
     rows.write.mode("append").partitionBy(run).parquet(path)
 
 

@@ -147,3 +147,19 @@ def test_restored_table_mutations(spark):
     swapped = good.withColumn("pos", F.when(F.col("pos") == 0, 16).when(F.col("pos") == 16, 0).otherwise(F.col("pos")))
     assert {"originals_not_first", "class_blocks_out_of_order"} <= codes(swapped)
     assert codes(good.withColumn("pos", F.when(F.col("pos") == 1, 2).otherwise(F.col("pos")))) == {"positions_not_dense"}
+
+
+def test_membership_of_restored_rows(spark):
+    work = restorer(spark, 17)
+    good, planned = work.restored(), work.copies()
+    assert restore.restoration_violations(good, work.allocation, planned=planned).isEmpty()
+    codes = lambda rows: {
+        r["code"] for r in restore.restoration_violations(rows, work.allocation, planned=planned).collect()}
+    # one duplicate of 8 becomes a duplicate of a row that was never retained
+    place = good.filter("is_duplicate AND row_id = 8").agg(F.min("pos")).first()[0]
+    foreign = good.withColumn("row_id", F.when(F.col("pos") == place, 99).otherwise(F.col("row_id")))
+    assert codes(foreign) == {"row_never_retained", "wrong_copies_of_row"}
+    # one original swapped for another of its class: all counts stay as they are
+    swapped = good.withColumn(
+        "row_id", F.when(~F.col("is_duplicate") & (F.col("row_id") == 8), 12).otherwise(F.col("row_id")))
+    assert codes(swapped) == {"original_missing_or_repeated"}

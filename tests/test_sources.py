@@ -121,6 +121,9 @@ def test_ledger_is_gated_before_the_append(spark, tmp_path):
     assert spark.read.parquet(path).count() == 12
     with pytest.raises(gates.GateError):
         inventory.append_ledger(book.withColumn("elapsed_seconds", F.lit(-1.0)), path)
+    for again in (book.filter("ordinal = 3"), book.filter("ordinal = 3").withColumn("run", F.lit(2))):
+        with pytest.raises(gates.GateError):
+            inventory.append_ledger(again.unionByName(again) if again.first()["run"] == 2 else again, path)
     assert spark.read.parquet(path).count() == 12
 
 
@@ -157,3 +160,13 @@ def test_summary_documents(spark, tmp_path):
       "quantile_method": "linear"}}}]}""")
     row = documents.read_summary_document(spark, str(document)).first()
     assert int(row["bootstrap_seed"]) == 9440221718500065875 and row["ci_lower"] == -0.01285268634000325
+
+
+def test_write_once_replaces_an_incomplete_output(spark, tmp_path):
+    path = tmp_path / "out"
+    path.mkdir()
+    (path / "part-0.parquet").write_bytes(b"half")
+    frame = spark.range(5)
+    assert inventory.write_once(frame, str(path)) == "written"
+    assert spark.read.parquet(str(path)).count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
