@@ -125,7 +125,6 @@ def test_grid_run_shares_test_rows_and_restores_sizes(spark, grid):
     assert rows(got.groupBy("arm", "key").agg(F.sum("test_index").alias("s")).groupBy().agg(F.count_distinct("s").alias("k"))) == [(2,)]
     scores = roc_auc(got, ["key", "arm"])
     assert scores.count() == 16 and scores.filter("roc_auc IS NULL").isEmpty()
-    grid.close()
 
 
 def test_pending_study_and_latest_rows(spark):
