@@ -22,6 +22,7 @@ packed each for itself. An empty table gives an empty table. Extra columns are n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,37 +38,95 @@ from pairwright.llm.words import grouped
 CAPACITY = 4096
 END = 2
 BUCKET = 4096  # pieces of one length that one rank bucket should hold
-CACHE = 250_000  # distinct words whose ids a Python worker remembers
+CACHE = 400_000  # distinct words, and letter words, whose ids a Python worker remembers
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+# Letters are one word of the tokenizer, the marks behind them another.
+MARKS = b".,!?;:#%&$*|()-"
+ACCENTED_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+TOGETHER = 512  # distinct letter words encoded as one text
+
+
 class WordTokenizer:
-    """Ids of a text as little-endian bytes. White space separates words in this tokenizer,
-    so each distinct word is encoded once and remembered up to a bound."""
+    """Ids of a text as little-endian bytes.
+
+    White space separates words in this tokenizer and letter case does not matter, so each
+    distinct word is encoded once and remembered up to a bound. A word of Latin letters with
+    marks behind it is put together from the ids of its letters and of its marks; letter
+    words are encoded many at a time and told apart by the tokens that end a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def _whole(self, words: list[str]) -> Iterator[bytes]:
+        for encoding in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(encoding.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(words), TOGETHER):
+            part = words[start : start + TOGETHER]
+            text = " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):
+                yield from self._whole(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for stop in stops:
+                yield data[at:stop]
+                at = stop
+
+    def _learn(self, missing: list[bytes]) -> None:
+        split: list[tuple[bytes, bytes, bytes]] = []
+        other: list[bytes] = []
+        for word in missing:
+            letters = word.rstrip(MARKS)
+            if letters.isalpha():  # of bytes: A-Z and a-z only
+                split.append((word, letters.lower(), word[len(letters) :]))
+            elif m := ACCENTED_LETTERS.fullmatch(letters.decode("utf-8", "replace")):
+                split.append((word, m[0].lower().encode(), word[len(letters) :]))
+            else:
+                other.append(word)
+        parts = self.parts
+        letters = {x for _, x, _ in split if x not in parts}
+        if len(parts) + len(letters) > CACHE:
+            self.parts = parts = {b"": b""}
+            letters = {x for _, x, _ in split}
+        letters = list(letters)
+        parts.update(zip(letters, self._letters([x.decode() for x in letters]), strict=True))
+        marks = list({x for _, _, x in split if x not in parts})
+        parts.update(zip(marks, self._whole([x.decode() for x in marks]), strict=True))
+        known = self.known
+        for word, a, b in split:
+            known[word] = parts[a] + parts[b] if b else parts[a]
+        texts = [word.decode("utf-8", "replace") for word in other]
+        known.update(zip(other, self._whole(texts), strict=True))
+
+    def forget(self) -> None:
+        """Give back the memory of the words known."""
+        self.known, self.parts = {}, {b"": b""}
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of one text after the other."""
-        split = [t.split() if t else [] for t in texts]
+        # lower case early makes fewer distinct words; special tokens are told apart by case
+        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         fresh = set().union(*split)
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {w: self.known[w] for w in fresh if w in self.known}
         missing = [w for w in fresh if w not in self.known]
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in part], add_special_tokens=False
-            )
-            for word, encoding in zip(part, found, strict=True):
-                self.known[word] = np.array(encoding.ids, "<u4").tobytes()
+        if len(self.known) + len(missing) > CACHE:
+            self.known = {w: self.known[w] for w in fresh if w in self.known}
+        self._learn(missing)
         ids_of = self.known.__getitem__
         for words in split:
             yield b"".join(map(ids_of, words))
@@ -89,7 +148,7 @@ def _piece_batches(path: str, capacity: int, end: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(False)
-            for a, b in grouped(sizes):
+            for a, b in grouped(sizes, 2 << 20):
                 rows: list[tuple] = []
                 encoded = tokenizer.encode(texts[a:b].to_pylist())
                 for doc_id, ids in zip(batch.column(0)[a:b].to_pylist(), encoded, strict=True):
@@ -103,6 +162,7 @@ def _piece_batches(path: str, capacity: int, end: int):
                     [pa.array(c, pa.int64()) for c in columns],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        tokenizer.forget()
 
     return run
 
