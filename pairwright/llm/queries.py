@@ -74,11 +74,12 @@ def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_fuzzy_line_dedup")
 def fuzzy_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    removed = line_dedup.with_removed(docs)
-    lines = F.size(F.split("row.text", "\n", -1))
+    lines = F.size(F.split("text", "\n", -1))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines")
+    removed = line_dedup.with_removed(docs, [F.col("doc_id"), n_lines])
     return removed.select(
         "row.doc_id",
-        F.when(F.col("row.text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"),
+        "row.n_lines",
         F.size("removed").cast("long").alias("n_removed"),
         "removed",
     )

@@ -86,7 +86,7 @@ def test_crowds_of_near_lines(spark, monkeypatch):
         line[draw.randrange(120)] = draw.choice(words)
         docs.append((i, " ".join(line) + f"\nown line {draw.choice(words)} {i}\n\n!!!"))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.row.doc_id: sorted(r.removed) for r in line_dedup.with_removed(frame).collect() if r.removed}
+    got = {r.row.doc_id: sorted(r.removed) for r in line_dedup.with_removed(frame, [frame.doc_id]).collect() if r.removed}
     assert got == direct_removed(docs)
     assert sum(len(n) for n in got.values()) > 20
 
