@@ -3,8 +3,8 @@
 A text is scanned for three kinds of secrets. Then a worklist unwraps it: percent and
 backslash or character escapes are decoded over the whole layer, each base64 run becomes a
 layer of its own, and a run that holds zlib or gzip data is unpacked first. Every new layer is
-scanned and unwrapped in turn, until none is new; a layer text seen before is not taken up
-again, which ends cycles. Each character of a layer knows the span of the original text that
+scanned and unwrapped in turn, until none is new; a layer text seen before at the same span of
+the original is not taken up again, which ends cycles, while equal runs elsewhere are. Each character of a layer knows the span of the original text that
 it comes from, so what is found in a layer has a span there.
 
 Matches are leftmost and do not overlap within a kind; those that fail their length are
@@ -177,13 +177,14 @@ def find(text: str | None, most_bytes: int = MOST_BYTES) -> tuple[list[Span], li
     text = text or ""
     base = scan(text)
     spans = set(base)
-    seen = {text}
+    seen: set[tuple[str, int, int]] = set()
     work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
     while work:
         for below in unwrapped(work.pop(), most_bytes):
-            if below.text in seen:
+            key = (below.text, *below.origin(0, len(below.text)))
+            if key in seen:
                 continue
-            seen.add(below.text)
+            seen.add(key)
             work.append(below)
             for start, kind, end in scan(below.text):
                 begin, stop = below.origin(start, end)

@@ -226,6 +226,17 @@ def test_layers_end():
     assert secrets.find(bomb, most_bytes=100) == ([], [])
 
 
+def test_equal_wrapped_secrets_have_a_span_each():
+    one = b64(gzip.compress(b64(SECRET).encode()))
+    for wrapped in (b64(SECRET), one):
+        text = f"Cookie: {wrapped}\n;; Cookie: {wrapped}; {b64('x ' + wrapped)}"
+        places = [m.start() for m in re.finditer(re.escape(wrapped), text)]
+        spans = [s for s in secrets.find(text)[1] if s[1] == 0]
+        for place in places:
+            assert any(place <= a < b <= place + len(wrapped) for a, _, b in spans)
+        assert any(a > places[-1] + len(wrapped) for a, _, b in spans)
+
+
 def test_secret_edge_rows(spark, edge_docs, no_docs):
     got = secrets.secret_spans(edge_docs).collect()
     assert len(got) == edge_docs.count() and not any(r.spans for r in got)
