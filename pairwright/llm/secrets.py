@@ -2,18 +2,23 @@
 
 A text is scanned for three kinds of secrets. Then a worklist unwraps it: percent and
 backslash or character escapes are decoded over the whole layer, each base64 run becomes a
-layer of its own, and a run that holds zlib or gzip data is unpacked first. Every new layer is
-scanned and unwrapped in turn, until none is new; a layer text seen before at the same span of
-the original is not taken up again, which ends cycles, while equal runs elsewhere are. Each character of a layer knows the span of the original text that
+layer of its own, and zlib or gzip data, base64 or percent encoded, is unpacked until nothing
+unpacks. Every new layer is scanned and unwrapped in turn, until none is new; a layer text seen
+before at the same span of the original is not taken up again, which ends cycles, while equal
+runs in other places are. Each character of a layer knows the span of the original text that
 it comes from, so what is found in a layer has a span there.
 
 Matches are leftmost and do not overlap within a kind; those that fail their length are
 dropped after matching. Spans are code points, end exclusive, of the whole match.
 
 Defined cases: a null text is empty; a text without a secret has no spans and the digest of
-the empty string. A base64 run counts if it decodes to printable UTF-8 text or to compressed
-data that does; at most ``most_bytes`` of compressed data are unpacked from one run, a guard
-against bombs. Repeated rows give repeated results. Extra columns are not read.
+the empty string. A base64 run goes on over line breaks, and its lines count on their own too.
+If it is not printable text from its first character, it is read from its first four, so a
+prefix of the same alphabet does no harm; compressed data may begin at a line or after one of
+``/-_+``. Bytes that are not UTF-8 become U+FFFD; if there are NULs, the text without them
+(UTF-16 and UTF-32 of ASCII) is a layer too. Compressed data that breaks off gives what comes
+before. At most ``most_bytes`` are unpacked from one run in all, and a run that has more gives
+nothing, a guard against bombs. Repeated rows give repeated results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,9 +50,20 @@ ESCAPE = re.compile(
     r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
     r"|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = r"[ \t]*(?:\r\n|\n|\r|(?:\\r)?\\n)[ \t]*"
+#: The lines of one run; the first has 16 characters or more.
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*")
+BREAK = re.compile(_BREAK)
+#: Anything that may be decoded.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
+#: Where compressed data may begin in a run: gzip, or the two bytes of a zlib header.
+PACKED = re.compile(r"H4sI|(?:^|(?<=[+/_-]))e[AFJN]")
+PERCENT_PACKED = re.compile(
+    r"(?:(?i:%1f%8b)|(?:x|%78)(?:\^|(?i:%01|%5e|%9c|%da)))(?:%[0-9A-Fa-f]{2}|[^\s%&<>\"])*"
+)
 
 _HEX_RUN = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
+_STRAY = re.compile("[\udc80-\udcff]")
 _URL_SAFE = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, int]  # start, index of the kind, end
@@ -66,10 +83,26 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text; character ``i`` comes from ``[low[i], high[i])`` of the original."""
+    """A decoded text; character ``i`` comes from ``[low[i], high[i])`` of the original.
+
+    The places are made when they are asked for: most layers hold nothing.
+    """
+
+    def __init__(self, text: str, places: Callable[[], tuple[list[int] | range, list[int] | range]]):
+        self.text, self._places, self._made = text, places, None
+
+    def _both(self) -> tuple[list[int] | range, list[int] | range]:
+        if self._made is None:
+            self._made = self._places()
+        return self._made
 
-    def __init__(self, text: str, low: list[int] | range, high: list[int] | range):
-        self.text, self.low, self.high = text, low, high
+    @property
+    def low(self) -> list[int] | range:
+        return self._both()[0]
+
+    @property
+    def high(self) -> list[int] | range:
+        return self._both()[1]
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         return min(self.low[start:end]), max(self.high[start:end])
@@ -115,61 +148,142 @@ def unescaped(layer: Layer) -> Layer | None:
     if not at:
         return None
     keep(len(text))
-    return Layer("".join(parts), low, high)
+    return Layer("".join(parts), lambda: (low, high))
 
 
 def inflated(data: bytes, most_bytes: int) -> bytes | None:
-    """What zlib or gzip data unpacks to; None if it is neither, broken or too large."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0):
-        return None
+    """What zlib data or all members of gzip data unpack to, as far as they go; None if it is
+    neither, gives nothing, or gives more than ``most_bytes``."""
+    out = b""
+    while data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0):
+        unpacker = zlib.decompressobj(wbits=47)
+        try:
+            out += unpacker.decompress(data, most_bytes - len(out) + 1)
+        except zlib.error:
+            out += salvaged(data, most_bytes - len(out) + 1)
+            break
+        if len(out) > most_bytes:
+            return None
+        if not unpacker.eof or data[:1] == b"\x78":
+            break
+        data = unpacker.unused_data.lstrip(b"\0")
+    return out if 0 < len(out) <= most_bytes else None
+
+
+def salvaged(data: bytes, most: int) -> bytes:
+    """What broken data unpacks to before its fault."""
     unpacker = zlib.decompressobj(wbits=47)
+    out = bytearray()
     try:
-        out = unpacker.decompress(data, most_bytes)
+        for i in range(0, len(data), 64):
+            out += unpacker.decompress(data[i : i + 64])
+            if len(out) >= most:
+                break
     except zlib.error:
-        return None
-    return out if unpacker.eof else None
+        pass
+    return bytes(out)
 
 
-def printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def unpacked(data: bytes, most_bytes: int) -> bytes | None:
+    """Compressed data, unpacked until nothing unpacks."""
+    seen: set[bytes] = set()
+    out = None
+    while data not in seen and (below := inflated(data, most_bytes)) is not None:
+        seen.add(data)
+        most_bytes -= len(below)
+        out = data = below
+    return out
+
+
+def printable(text: str) -> bool:
     plain = text.replace("\n", "").replace("\r", "").replace("\t", "")
-    return text if plain.isprintable() and text else None
+    return plain.isprintable() and "\ufffd" not in plain
+
+
+def readings(data: bytes, place: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
+    """Data as text, and without its NULs; ``place`` gives the origin of a range of bytes."""
+    raw = data.decode("utf-8", "surrogateescape")
+
+    def places() -> tuple[list[int], list[int]]:
+        low: list[int] = []
+        high: list[int] = []
+        byte = 0
+        for char in raw:
+            last = byte + (1 if char < "\x80" or "\udc80" <= char <= "\udcff" else len(char.encode()))
+            begin, stop = place(byte, last)
+            low.append(begin)
+            high.append(stop)
+            byte = last
+        return low, high
+
+    whole = Layer(raw if raw.isascii() else _STRAY.sub("\ufffd", raw), places)
+    yield whole
+    if "\0" in raw:
+        keep = [i for i, char in enumerate(raw) if char != "\0"]
+        text = whole.text.replace("\0", "")
+        yield Layer(text, lambda: ([whole.low[i] for i in keep], [whole.high[i] for i in keep]))
+
+
+def decoded(layer: Layer, body: str, where: range | list[int]) -> Iterator[Layer]:
+    """What a base64 run holds; character ``i`` of it is character ``where[i]`` of the layer."""
+    body = body.translate(_URL_SAFE)
+    for start in range(4):
+        part = body[start : len(body) - ((len(body) - start) % 4 == 1)]
+        if len(part) < 2:
+            break
+        data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+        def place(first: int, last: int, start: int = start, end: int = len(part)) -> tuple[int, int]:
+            upto = min(end, 4 * ((last - 1) // 3) + 4)
+            return layer.origin(where[start + 4 * (first // 3)], where[start + upto - 1] + 1)
+
+        clean = False
+        for below in readings(data, place):
+            clean |= printable(below.text)
+            yield below
+        if clean:
+            break
 
 
 def unwrapped(layer: Layer, most_bytes: int) -> Iterator[Layer]:
     """All layers that are one decoding below this one."""
+
+    def packed(data: bytes, start: int, end: int) -> Iterator[Layer]:
+        below = unpacked(data, most_bytes)
+        if below is not None:
+            origin = layer.origin(start, end)
+            yield from readings(below, lambda first, last: origin)
+
     below = unescaped(layer)
     if below is not None:
         yield below
+        for m in PERCENT_PACKED.finditer(layer.text):
+            yield from packed(unquote_to_bytes(m[0]), m.start(), m.end())
+            if "+" in m[0]:
+                yield from packed(unquote_to_bytes(m[0].replace("+", " ")), m.start(), m.end())
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        data = binascii.a2b_base64(body.translate(_URL_SAFE) + "=" * (-len(body) % 4))
-        packed = inflated(data, most_bytes)
-        text = printable(data if packed is None else packed)
-        if text is None:
-            continue
-        start, end = m.start(), m.start() + len(body)
-        if packed is not None:
-            begin, stop = layer.origin(start, end)
-            yield Layer(text, [begin] * len(text), [stop] * len(text))
-            continue
-        low: list[int] = []
-        high: list[int] = []
-        byte = 0
-        for char in text:
-            last = byte + len(char.encode()) - 1
-            begin, stop = layer.origin(
-                start + 4 * (byte // 3), min(end, start + 4 * (last // 3) + 4)
-            )
-            low.append(begin)
-            high.append(stop)
-            byte = last + 1
-        yield Layer(text, low, high)
+        ends = [(x.start(), x.end()) for x in BREAK.finditer(layer.text, *m.span())]
+        lines = list(zip([m.start(), *(b for _, b in ends)], [*(a for a, _ in ends), m.end()], strict=True))
+        where: range | list[int] = range(*m.span())
+        if len(lines) > 1:
+            where = [i for a, b in lines for i in range(a, b)]
+        body = "".join(layer.text[a:b] for a, b in lines)
+        starts = {x.start() for x in PACKED.finditer(body)}
+        at = 0
+        for a, b in lines:
+            if PACKED.match(body[at : at + 4]):
+                starts.add(at)
+            at += b - a
+        for start in sorted(starts):
+            part = body[start:].translate(_URL_SAFE)
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            yield from packed(data, where[start], m.end())
+        yield from decoded(layer, body, where)
+        if len(lines) > 1:
+            for a, b in lines:
+                if b - a >= 16:
+                    yield from decoded(layer, layer.text[a:b], range(a, b))
 
 
 def find(text: str | None, most_bytes: int = MOST_BYTES) -> tuple[list[Span], list[Span]]:
@@ -178,15 +292,18 @@ def find(text: str | None, most_bytes: int = MOST_BYTES) -> tuple[list[Span], li
     base = scan(text)
     spans = set(base)
     seen: set[tuple[str, int, int]] = set()
-    work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    work = [Layer(text, lambda: (range(len(text)), range(1, len(text) + 1)))]
     while work:
         for below in unwrapped(work.pop(), most_bytes):
+            found = scan(below.text)
+            if not found and not WRAPPED.search(below.text):
+                continue
             key = (below.text, *below.origin(0, len(below.text)))
             if key in seen:
                 continue
             seen.add(key)
             work.append(below)
-            for start, kind, end in scan(below.text):
+            for start, kind, end in found:
                 begin, stop = below.origin(start, end)
                 spans.add((begin, kind, stop))
     return base, sorted(spans)

@@ -8,6 +8,7 @@ import hashlib
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -237,6 +238,41 @@ def test_equal_wrapped_secrets_have_a_span_each():
         assert any(a > places[-1] + len(wrapped) for a, _, b in spans)
 
 
+def lines_of(text, width):
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+
+LONG = "noise " * 30 + SECRET + " tail" * 20
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        b64(gzip.compress(gzip.compress(SECRET.encode()))),
+        b64(zlib.compress(gzip.compress(zlib.compress(SECRET.encode())))),
+        b64(gzip.compress(b"first") + gzip.compress(SECRET.encode())),
+        lines_of(b64(gzip.compress(bytes(range(200)) + SECRET.encode())), 64),
+        lines_of(b64(zlib.compress(bytes(range(200)) + SECRET.encode())), 76),
+        lines_of(b64(LONG), 64).replace("\n", "\r\n  "),
+        lines_of(b64(LONG[:170] + SECRET), 76).replace("\n", "\\n"),
+        *[b64(mark + SECRET) for mark in ("\xa0", "\ufeff", "\u200b", "\x1b[0m ")],
+        b64(b"\xff\xfe\x80 " + SECRET.encode()),
+        b64(SECRET.encode("utf-16")),
+        b64(SECRET.encode("utf-16-be")),
+        *[prefix + b64(SECRET) for prefix in ("v1/", "key-", "a_", "ab/", "id")],
+        *[prefix + b64(data(SECRET.encode())) for prefix in ("v1/", "key-", "a_") for data in (gzip.compress, zlib.compress)],
+        urllib.parse.quote(gzip.compress(SECRET.encode())),
+        urllib.parse.quote_plus(zlib.compress(b"  " + SECRET.encode() * 3)),
+        b64("\xa0" + urllib.parse.quote(gzip.compress(gzip.compress(SECRET.encode())))),
+    ],
+)
+def test_layers_are_unwrapped_to_the_end(wrapped):
+    text = "h\xe9\xe9 voil\xe0 " + wrapped + " tail"
+    spans = [s for s in secrets.find(text)[1] if s[1] == 0]
+    assert spans
+    assert all(10 <= start < end <= 10 + len(wrapped) for start, _, end in spans)
+
+
 def test_secret_edge_rows(spark, edge_docs, no_docs):
     got = secrets.secret_spans(edge_docs).collect()
     assert len(got) == edge_docs.count() and not any(r.spans for r in got)
