@@ -76,7 +76,7 @@ def fuzzy_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     lines = F.size(F.split("text", "\n", -1))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines")
-    removed = line_dedup.with_removed(docs, [F.col("doc_id"), n_lines])
+    removed = line_dedup.with_removed(docs, [F.col("doc_id"), n_lines], radius=None)
     return removed.select(
         "row.doc_id",
         "row.n_lines",

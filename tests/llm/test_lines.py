@@ -92,6 +92,28 @@ def test_crowds_of_near_lines(spark, monkeypatch):
     assert sum(len(n) for n in got.values()) > 20
 
 
+@pytest.mark.parametrize("least,most", [(5, 8), (9, 14), (15, 25), (26, 50)])
+def test_near_copies_of_every_length_are_found(spark, small, least, most):
+    """One changed character, against brute force over the same lines without a radius."""
+    draw = random.Random(least)
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    lines = {line_dedup.normalised(x) for t in texts for x in t.split("\n")}
+    lines = sorted(x for x in lines if least <= len(x.split(" ")) <= most)[:60]
+    docs = []
+    for i, line in enumerate(lines):
+        place = draw.choice([j for j, c in enumerate(line) if c != " "])
+        docs += [(2 * i, line), (2 * i + 1, line[:place] + "q" + line[place + 1 :])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = line_dedup.with_removed(frame, [frame.doc_id], radius=None).collect()
+    got = {r.row.doc_id: r.removed for r in got if r.removed}
+    assert len(got) >= 0.98 * len(lines)
+    for i in got:  # only what brute force links to some other line
+        own = docs[i][1]
+        assert any(
+            line_dedup.edit_distance(own, x) <= 0.2 * max(len(own), len(x)) + 1e-9 for j, x in docs if j != i
+        )
+
+
 def test_deduplicated_edge_rows(spark, edge_docs, no_docs):
     out = line_dedup.deduplicated(edge_docs)
     assert out.columns == edge_docs.columns
