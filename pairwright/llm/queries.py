@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import graph, language, licenses, line_dedup, mixing, mtree, packing, secrets, simhash, toxicity
+from pairwright.llm import (
+    graph,
+    language,
+    licenses,
+    line_dedup,
+    merkle,
+    mixing,
+    mtree,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    twins,
+    toxicity,
+)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -130,3 +144,35 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
         secrets.joined("spans").alias("spans"),
     )
+
+
+@query("op12_merkle_manifest", twins.MERKLE)
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(*merkle.COLUMNS)
+    values = [F.col(c) for c in merkle.COLUMNS]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaf = merkle.leaf_digest(values)
+    seen = F.when(tampered, merkle.leaf_digest([*values[:-1], lower])).otherwise(leaf)
+    rows = merkle.manifest(docs.select("doc_id", "source", leaf.alias("leaf"), seen.alias("seen")))
+    root = merkle.folded(F.col("seen"), F.col("proof"))
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        root.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_quality_classifier")
+def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    model = quality.learn(docs, table(spark, sf, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
