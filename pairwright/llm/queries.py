@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import (
+    collocations,
     graph,
     language,
     licenses,
@@ -146,6 +147,11 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op11_collocations", twins.COLLOCATIONS)
+def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 @query("op12_merkle_manifest", twins.MERKLE)
 def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(*merkle.COLUMNS)

@@ -61,3 +61,22 @@ inner_fold AS (SELECT rows.*, {_siblings("d")} AS siblings, {_folded("d", "seen"
 SELECT doc_id, i.h AS leaf, u.h AS subroot, t.h AS root, sha256(siblings || {_siblings("g")}) AS proof_sha256,
   {_folded("g", "folded")} AS folded_root, {_folded("g", "folded")} = t.h AS verified
 FROM inner_fold i JOIN subroots u ON u.p = i.tree {_joins("g", "0", "i.tree")} CROSS JOIN g5 t"""
+
+COLLOCATIONS = f"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format(value="coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+counts AS (SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS phrase, count(*) AS a
+  FROM places, range(1, 5) x(s) WHERE i + s - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, a, s, k, string_split(phrase, ' ') AS w FROM counts, range(1, 4) x(k) WHERE k < s),
+scored AS (SELECT c.*, f.a AS l, r.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(f.a AS HUGEINT) + r.a) AS BIGINT) AS score FROM cuts c
+  JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.s], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM counts, range(2, 4) x(m), range(1, 4) y(i) WHERE m < s AND i + m - 1 <= s GROUP BY ALL),
+kept AS (SELECT o.* FROM lowest o LEFT JOIN inside i ON i.lang = o.lang AND i.phrase = o.phrase
+  WHERE i.longer IS NULL OR 100 * CAST(i.longer AS HUGEINT) < 80 * CAST(o.a AS HUGEINT))
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000"""
