@@ -191,6 +191,17 @@ def features(texts: list[bytes | None], recorded: np.ndarray) -> Features:
     return Features(start, index[order], value[order].astype(np.float32))
 
 
+def features_in_groups(texts: list[bytes], recorded: np.ndarray) -> Features:
+    """The same, with working memory for a group of texts at a time."""
+    parts = [features(texts[a:b], recorded[a:b]) for a, b in grouped(np.array([len(t) for t in texts]))]
+    counts = np.concatenate([np.diff(x.start) for x in parts])
+    return Features(
+        np.concatenate([[0], np.cumsum(counts)]),
+        np.concatenate([x.index.astype(np.int32) for x in parts]),
+        np.concatenate([x.value for x in parts]),
+    )
+
+
 @dataclass
 class Model:
     """``bias``, linear weights, vectors of rank ``RANK``; slope and shift of the calibration."""
@@ -258,7 +269,7 @@ def train(
     if len(set(good.tolist())) < 2:
         return Model()
     draw = np.random.default_rng(seed)
-    x = features(texts, recorded)
+    x = features_in_groups(texts, recorded)
     share = good.mean()
     weight = np.where(good > 0, PRIOR / share, (1 - PRIOR) / (1 - share))
     aside = draw.random(len(texts)) < 0.25
