@@ -109,7 +109,7 @@ def test_weighted_fit_equals_fit_on_duplicates(spark):
 @pytest.fixture(scope="module")
 def grid(spark):
     study = Study(levels={"toy": decimals("0.25", "0.50")}, seeds=(0, 29))
-    return GridRun(table(spark), SPEC, study, trees=5, depth=4)
+    return GridRun(table(spark), SPEC, study, trees=5)
 
 
 def test_grid_run_shares_test_rows_and_restores_sizes(spark, grid):
