@@ -2,45 +2,104 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
-from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.operators.gates import GateError, ledger_gate, require_empty
 from pairwright.operators.grid import key_set_digest
 from pairwright.operators.ordering import side_by_side
+from pairwright.operators.shared import settle
 from pairwright.operators.reconcile import manifest_vs_files, package_digest, reuse_identity
+from pairwright.sources.commits import CommitLog
 from pairwright.sources.tables import header_of, scan_metric_keys
 
 
+HASH_BLOCK = 4 << 20  # bytes read at a time
+LISTING = "path STRING, bytes LONG"
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """File system of a path, the path there, and what stands before it."""
+    scheme, rest = path.split("://", 1)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), rest, "file://"
+    authority, _, place = rest.partition("/")
+    files, base = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    base = base.rstrip("/")
+    return files, f"{base}/{place}", f"{scheme}://{authority}".removesuffix(base)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folders to their entries: folders again (``bytes`` null) and files."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            files, place, prefix = _opened(folder)
+            found = files.get_file_info(pafs.FileSelector(place))
+            found = [f for f in found if not f.base_name.startswith((".", "_"))]
+            sizes = [f.size if f.type == pafs.FileType.File else None for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([prefix + f.path for f in found], pa.string()), pa.array(sizes, pa.int64())],
+                names=["path", "bytes"],
+            )
+
+
+def file_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes) of every file below ``root``, as a table.
+
+    Folders are listed by tasks, one level of the tree in each pass; hidden entries, those
+    that begin with a dot or an underscore, are left out. A number a level comes to the driver.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = re.sub("^file:/+", "file:///", files.makeQualified(base).toString())
+    level = spark.createDataFrame([(top,)], "path STRING")
+    levels = []
+    while True:
+        found = settle(level.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(_listed, LISTING))
+        levels.append(found.filter("bytes IS NOT NULL"))
+        level = found.filter("bytes IS NULL").select("path")
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            files, place, _ = _opened(path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(place) as stream:
+                while block := stream.read(HASH_BLOCK):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
+
 def file_inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path below root, bytes, sha256) of every file; each file is hashed in a task.
+    """(path below root, bytes, sha256) of every file whose name fits ``pattern``.
 
-    The scan passes over files without content, so those are taken from its listing.
-    Files above 2 GiB are out of reach of the binary reader.
+    Listing and hashing run in tasks; a file of any size is read as a stream, in blocks of
+    ``HASH_BLOCK`` bytes. Large files come first and are dealt out one by one.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter=pattern)
-        .load(root)
+    like = "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+    listing = file_listing(spark, root)
+    chosen = listing.filter(F.substring_index("path", "/", -1).rlike(like))
+    total, most = chosen.agg(F.count(F.lit(1)), F.max("bytes")).first()
+    parts = max(1, min(total, 8 * spark.sparkContext.defaultParallelism + total // 1000))
+    hashed = chosen.repartition(parts, "path").sortWithinPartitions(F.desc("bytes")).mapInArrow(
+        _hashed, "path STRING, bytes LONG, sha256 STRING"
     )
     base = root.rstrip("/") + "/"
-    hashed = files.select(
-        F.expr(f"substring_index(path, '{base}', -1)").alias("path"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
-    listed = [(unquote(name).rsplit(base, 1)[-1],) for name in files.inputFiles()]
-    empty = (
-        spark.createDataFrame(listed, "path STRING")
-        .join(files.select(F.expr(f"substring_index(path, '{base}', -1)").alias("path")),
-              "path", "left_anti")
-        .select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
-    )
-    return hashed.unionByName(empty)
+    return hashed.withColumn("path", F.expr(f"substring_index(path, '{base}', -1)"))
 
 
 def same_content(left: DataFrame, right: DataFrame) -> bool:
@@ -74,22 +133,33 @@ def write_once(rows: DataFrame, path: str) -> str:
     return "written"
 
 
-def append_ledger(rows: DataFrame, path: str, run: str = "run") -> None:
-    """Append terminal rows, gated first, to the ledger partitioned by run.
+def read_ledger(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The committed rows of the ledger at ``path``."""
+    return CommitLog(spark, path).read("ledger", schema)
+
+
+def append_ledger(rows: DataFrame, path: str, run: str = "run") -> int:
+    """Append terminal rows, gated first, in one commit; its number.
 
-    A key has one terminal row in a run: repeats inside the batch and keys that the
-    stored ledger already has are refused.
+    A key has one terminal row in a run: repeats inside the batch and keys that the ledger
+    has are refused. Several writers may append at once. Each stages its rows and then takes
+    the next free commit number; one that comes second first looks at the rows that came in
+    between, so of two rows of one (run, key) only the first is ever committed.
     """
     spark = rows.sparkSession
     require_empty(ledger_gate(rows, [run, "key"]), "ledger rows")
     twice = rows.groupBy(run, "key").count().filter("count > 1")
     require_empty(twice.select(run, "key", F.lit("repeated_in_batch").alias("code")), "ledger rows")
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        stored = spark.read.schema(rows.select(run, "key").schema).parquet(path)
-        there = rows.select(run, "key").join(stored, [run, "key"], "left_semi")
+    log = CommitLog(spark, path)
+    keys = rows.select(run, "key")
+
+    def check(since: int, upto: int) -> None:
+        stored = log.read("ledger", keys.schema, since, upto)
+        there = keys.join(stored, [run, "key"], "left_semi")
         require_empty(there.withColumn("code", F.lit("already_terminal")), "ledger rows")
-    rows.write.mode("append").partitionBy(run).parquet(path)
+
+    check(0, log.versions())
+    return log.commit(log.stage({"ledger": rows}), check)
 
 
 def source_manifest(

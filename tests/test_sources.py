@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import rows
@@ -10,7 +11,7 @@ from pairwright.operators import gates
 from pairwright.operators.grid import condition_grid
 from pairwright.operators.ordering import settle
 from pairwright.operators.reconcile import package_digest
-from pairwright.sources import documents, inventory, predictions, tables
+from pairwright.sources import commits, documents, inventory, predictions, tables
 from pairwright.study import pilot_study
 from test_gates import TOY, run
 
@@ -118,13 +119,67 @@ def test_ledger_is_gated_before_the_append(spark, tmp_path):
     book = run(spark, pilot_study()).withColumn("run", F.lit(1))
     inventory.append_ledger(book.filter("ordinal < 6"), path)
     inventory.append_ledger(book.filter("ordinal >= 6"), path)
-    assert spark.read.parquet(path).count() == 12
+    assert inventory.read_ledger(spark, path, book.schema).count() == 12
     with pytest.raises(gates.GateError):
         inventory.append_ledger(book.withColumn("elapsed_seconds", F.lit(-1.0)), path)
     for again in (book.filter("ordinal = 3"), book.filter("ordinal = 3").withColumn("run", F.lit(2))):
         with pytest.raises(gates.GateError):
             inventory.append_ledger(again.unionByName(again) if again.first()["run"] == 2 else again, path)
-    assert spark.read.parquet(path).count() == 12
+    assert inventory.read_ledger(spark, path, book.schema).count() == 12
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path, monkeypatch):
+    """A second writer commits between the first one's look at the ledger and its commit."""
+    path = str(tmp_path / "ledger")
+    book = run(spark, pilot_study()).withColumn("run", F.lit(1))
+    inventory.append_ledger(book.filter("ordinal = 0"), path)
+    plain = commits.create_if_absent
+    late = [book.filter("ordinal IN (1, 2)"), book.filter("ordinal IN (3, 4)")]
+
+    def interrupted(*args):
+        if late:
+            rows = late.pop()
+            inventory.append_ledger(rows, path)
+        return plain(*args)
+
+    monkeypatch.setattr(commits, "create_if_absent", interrupted)
+    with pytest.raises(gates.GateError, match="already_terminal"):
+        inventory.append_ledger(book.filter("ordinal IN (2, 5)"), path)
+    inventory.append_ledger(book.filter("ordinal IN (5, 6)"), path)
+    got = rows(inventory.read_ledger(spark, path, book.schema), "ordinal")
+    assert got == [(i,) for i in range(7)]
+
+
+def test_writers_at_once_number_their_commits_without_gaps(spark, tmp_path):
+    log = commits.CommitLog(spark, str(tmp_path / "log"))
+    assert log.versions() == 0 and log.read("t", "id LONG").isEmpty()
+    staged = [log.stage({"t": spark.range(i, i + 1)}) for i in range(9)]
+    with ThreadPoolExecutor(9) as pool:
+        numbers = list(pool.map(lambda s: log.commit(s, lambda since, upto: None), staged))
+    assert sorted(numbers) == list(range(9)) and log.versions() == 9
+    assert rows(log.read("t", "id LONG")) == [(i,) for i in range(9)]
+    assert not commits.create_if_absent(spark, log._file(3), "other")
+    log.stage({"t": spark.range(100)})  # never committed
+    assert log.read("t", "id LONG").count() == 9
+
+
+def test_large_and_empty_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
+    root = tmp_path / "files"
+    (root / "a b" / "deep").mkdir(parents=True)
+    (root / "a b" / "deep" / "ü%20.bin").write_bytes(b"x" * 1001)
+    (root / "empty").write_bytes(b"")
+    with open(root / "sparse", "wb") as out:  # 3 GiB of zeros that take no disk
+        out.truncate(3 << 30)
+    want = hashlib.sha256()
+    for _ in range(3 << 8):
+        want.update(bytes(1 << 22))
+    got = {r["path"]: (r["bytes"], r["sha256"]) for r in inventory.file_inventory(spark, str(root)).collect()}
+    assert got == {
+        "a b/deep/ü%20.bin": (1001, hashlib.sha256(b"x" * 1001).hexdigest()),
+        "empty": (0, hashlib.sha256().hexdigest()),
+        "sparse": (3 << 30, want.hexdigest()),
+    }
+    assert rows(inventory.file_inventory(spark, str(root), "*.bin"), "path") == [("a b/deep/ü%20.bin",)]
 
 
 def test_predictions_round_trip(spark, tmp_path):
