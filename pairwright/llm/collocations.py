@@ -8,16 +8,17 @@ its rows are its left extensions, those of the other transform its right ones, a
 interval in the other index moves by the number of smaller symbols. Rows are sorted by
 ``DEPTH`` symbols only, which is exact for phrases up to that length.
 
-Passes, each over stored shards: words are counted and summed; shards count pairs of frequent
-words; shards keep the words that stand in a frequent pair (others part pieces too) and
-enumerate all phrases up to ``DEPTH`` words by extending to the right, to the left and to
-the right. A phrase is frequent only if its pairs are, so nothing is lost: pairs are told apart by
-64-bit digests, whose collisions can only keep more, and the last counts are by text.
+Passes, each over stored shards, taken in batches of about ``SHARD_WORDS`` words: words are
+counted; batches count pairs of frequent words; batches keep the words that stand in a frequent
+pair (others part pieces too) and enumerate all phrases up to ``DEPTH`` words by extending to
+the right, to the left and to the right. After the first two passes, the counts of all batches
+meet by buckets of keys, and each bucket tells every batch which of its own keys are frequent.
+A phrase is frequent only if its words and pairs are, so nothing is lost: keys are digests whose
+collisions can only keep more, and the last counts are by text.
 
 How it stays bounded: shards are cut where the texts lie, so a hot language has many; a task
-holds one shard's ids, and a single text longer than that makes a longer shard. Only words, pairs and
-phrases with their counts are shuffled, folded by shard first; frequent ones go back to the
-shards that hold them by a join. Nothing comes to the driver.
+holds one batch's ids, and a single text longer than that makes a longer shard. The number of
+batches and buckets follows the number of words. Nothing comes to the driver.
 
 Defined cases: a null text has no words, a null language is ``und``. Repeated rows count
 each. An empty table gives an empty table. Extra columns are not read.
@@ -40,7 +41,8 @@ from pairwright.llm.durable import reread
 
 DEPTH = 4
 LEAST = 30  # occurrences of a candidate
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 3_000_000
+BUCKET_WORDS = 1_000_000  # a bucket of keys is for so many words of the corpus
 TOP = 2000
 SCALE = 2_000_000
 COVERED = (80, 100)  # a phrase goes if 100 * f(longer) >= 80 * f
@@ -255,68 +257,159 @@ def shards(docs: DataFrame, text: str, lang: str, most: int = SHARD_WORDS) -> Da
     )
 
 
+# --- keys: 48 bits of a digest. Equal keys of different texts can only keep more.
+
+KEY_BYTES = 6
+
+
 def _word_keys(words: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Keys of the words from number 1 on; the parting id 0 has key 0."""
     digest = xxhash.xxh3_64_intdigest
     values = words.cast(pa.binary()).to_pylist()
-    return np.concatenate([[0], np.fromiter(map(digest, values), np.uint64, len(values))]).astype(np.uint64)
+    keys = np.fromiter(map(digest, values), np.uint64, len(values)) >> np.uint64(64 - 8 * KEY_BYTES)
+    return np.concatenate([np.zeros(1, np.uint64), keys])
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each pair of words, from those of the words."""
+    """The key of each pair of words, from those of the words."""
     x = left * np.uint64(0x9E3779B97F4A7C15) + right
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def keys_to_bytes(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def keys_from_bytes(data: bytes) -> np.ndarray:
+    cells = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(cells), 8), np.uint8)
+    keys[:, :KEY_BYTES] = cells
+    return keys.view("<u8").ravel().astype(np.uint64)
 
 
-PAIRS = "lang string, shard long, pair long, n long"
+def among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each key is one of the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(keys), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+
+
+COUNTS = "lang string, bucket int, batch int, keys binary, counts binary"
+KEPT = "lang string, batch int, kind int, keys binary"
 PHRASES = "lang string, phrase string, n long, left long, right long"
 
 
 def _empty(schema: str) -> pa.Table:
-    kinds = {"string": pa.string(), "long": pa.int64()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [part.split() for part in schema.split(", ")]
     return pa.table({name: pa.array([], kinds[kind]) for name, kind in fields})
 
 
-def _pairs(shard: pa.Table, frequent: pa.Table) -> pa.Table:
-    """Pairs of frequent words of one shard."""
-    if not shard.num_rows or not frequent.num_rows:
-        return _empty(PAIRS)
-    ids = unpacked(shard["ids"][0].as_py())
-    words = shard["words"].combine_chunks().flatten()
-    keep = np.zeros(len(words) + 1, bool)
-    keep[frequent["word"].to_numpy()] = True
-    index = Index(parted(ids, keep[ids]))
-    found = index.extended(index.single(), left=False)
-    keys = _word_keys(words)
-    pair = pair_keys(keys[found.words[:, 0]], keys[found.words[:, 1]])
+def _bucketed(lang: str, batch: int, buckets: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """Counts of one batch as a row for each bucket of keys."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, start = np.unique(bucket[order], return_index=True)
+    parts = np.split(order, start[1:]) if len(found) else []
     return pa.table(
         {
-            "lang": pa.repeat(shard["lang"][0], len(pair)),
-            "shard": pa.repeat(shard["shard"][0], len(pair)),
-            "pair": pair,
-            "n": found.size,
+            "lang": pa.array([lang] * len(found), pa.string()),
+            "bucket": pa.array(found, pa.int32()),
+            "batch": pa.array([batch] * len(found), pa.int32()),
+            "keys": pa.array([keys_to_bytes(keys[p]) for p in parts], pa.binary()),
+            "counts": pa.array([packed(counts[p]) for p in parts], pa.binary()),
         }
     )
 
 
-def _phrases(shard: pa.Table, frequent: pa.Table) -> pa.Table:
-    """All phrases of one shard whose pairs are frequent."""
-    if not shard.num_rows or not frequent.num_rows:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards to the counts of their words, by bucket."""
+    for shard in batches:
+        for i in range(shard.num_rows):
+            lang, batch, buckets = (shard.column(c)[i].as_py() for c in ("lang", "batch", "buckets"))
+            words, counts = shard.column("words")[i].values, shard.column("counts")[i].values
+            table = _bucketed(lang, batch, buckets, _word_keys(words)[1:], counts.to_numpy())
+            yield from table.to_batches()
+
+
+def _frequent(least: int, kind: int):
+    """The counts of all batches for one bucket to the frequent keys that each batch has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [keys_from_bytes(k) for k in table["keys"].to_pylist()]
+        counts = np.concatenate([unpacked(c) for c in table["counts"].to_pylist()])
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        enough = np.bincount(where, counts, len(distinct)) >= least
+        wanted = distinct[enough]
+        return pa.table(
+            {
+                "lang": table["lang"],
+                "batch": table["batch"],
+                "kind": pa.array([kind] * len(keys), pa.int32()),
+                "keys": pa.array([keys_to_bytes(k[among(k, wanted)]) for k in keys], pa.binary()),
+            }
+        )
+
+    return run
+
+
+class _Batch:
+    """Several shards of a language as one: common word numbers, one id sequence."""
+
+    def __init__(self, shards: pa.Table, kept: pa.Table):
+        shards = shards.sort_by("shard")
+        self.lang, self.number, self.buckets = (shards[c][0].as_py() for c in ("lang", "batch", "buckets"))
+        lists = shards["words"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        coded = pc.dictionary_encode(lists.flatten())
+        number = coded.indices.to_numpy().astype(np.int64) + 1
+        self.words = coded.dictionary
+        counts = shards["counts"].combine_chunks().flatten().to_numpy()
+        self.counts = np.bincount(number, counts, len(self.words) + 1).astype(np.int64)
+        parts, start = [], 0
+        for data, size in zip(shards["ids"].to_pylist(), sizes.tolist(), strict=True):
+            own = np.concatenate([[0], number[start : start + size]])
+            parts += [own[unpacked(data)], np.zeros(1, np.int64)]
+            start += size
+        self.ids = np.concatenate(parts)
+        self.keys = _word_keys(self.words)
+        kinds = kept["kind"].to_numpy()
+        lists = kept["keys"].to_pylist()
+        self.kept = [
+            np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys_from_bytes(lists[i]) for i in np.flatnonzero(kinds == k))]))
+            for k in (0, 1)
+        ]
+
+
+def _pairs(shards: pa.Table, kept: pa.Table) -> pa.Table:
+    """Counts of the pairs of frequent words in one batch."""
+    if not shards.num_rows or not kept.num_rows:
+        return _empty(COUNTS)
+    batch = _Batch(shards, kept)
+    keep = among(batch.keys, batch.kept[0])
+    keep[0] = False
+    index = Index(parted(batch.ids, keep[batch.ids]))
+    found = index.extended(index.single(), left=False)
+    pair = pair_keys(batch.keys[found.words[:, 0]], batch.keys[found.words[:, 1]])
+    return _bucketed(batch.lang, batch.number, batch.buckets, pair, found.size)
+
+
+def _phrases(shards: pa.Table, kept: pa.Table) -> pa.Table:
+    """Frequent words of one batch, and all phrases whose pairs are frequent."""
+    if not shards.num_rows or not kept.num_rows:
         return _empty(PHRASES)
-    ids = unpacked(shard["ids"][0].as_py())
-    words = shard["words"].combine_chunks().flatten()
-    keys = _word_keys(words)[ids]
-    wanted = np.sort(frequent["pair"].to_numpy())
-    pair = pair_keys(keys[:-1], keys[1:])
-    place = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
-    tied = (wanted[place] == pair) & (ids[:-1] > 0) & (ids[1:] > 0)
+    batch = _Batch(shards, kept)
+    ids, words = batch.ids, batch.words
+    known = np.flatnonzero(among(batch.keys, batch.kept[0]))
+    known = known[known > 0]
+    texts = [words.take(pa.array(known - 1))]
+    columns = [np.stack([batch.counts[known], np.zeros_like(known), np.zeros_like(known)])]
+    keys = batch.keys[ids]
+    tied = among(pair_keys(keys[:-1], keys[1:]), batch.kept[1]) & (ids[:-1] > 0) & (ids[1:] > 0)
     keep = np.concatenate([[False], tied]) | np.concatenate([tied, [False]])
-    if not keep.any():
-        return _empty(PHRASES)
     index = Index(parted(ids, keep, np.flatnonzero(~tied) + 1))
     found = index.single()
-    texts, columns = [], []
     for left in (False, True, False):
         found = index.extended(found, left)
         before, after = index.extensions(found)
@@ -326,7 +419,7 @@ def _phrases(shard: pa.Table, frequent: pa.Table) -> pa.Table:
     n, before, after = np.concatenate(columns, axis=1)
     return pa.table(
         {
-            "lang": pa.repeat(shard["lang"][0], len(n)),
+            "lang": pa.repeat(pa.scalar(batch.lang), len(n)),
             "phrase": pa.concat_arrays(texts),
             "n": n,
             "left": before,
@@ -338,36 +431,36 @@ def _phrases(shard: pa.Table, frequent: pa.Table) -> pa.Table:
 def ngrams(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shard_words: int = SHARD_WORDS
 ) -> tuple[DataFrame, DataFrame]:
-    """``(lang, word, n, all_words)`` and ``(lang, phrase, n, left, right)``.
+    """``(lang, all_words)``, and ``(lang, phrase, n, left, right)`` of phrases and single words.
 
-    Words, and phrases of 2 to ``DEPTH`` words, with at least ``least`` occurrences. ``all_words`` is
-    the number of all word occurrences of the language; ``left`` and ``right`` are the occurrences that
-    go on in that direction by a word that makes a frequent pair.
+    Phrases of up to ``DEPTH`` words with at least ``least`` occurrences. ``all_words`` is the
+    number of all word occurrences of the language; ``left`` and ``right`` are the occurrences
+    of a phrase that go on in that direction by a word that makes a frequent pair.
     """
     cut = reread(shards(docs, text, lang, shard_words), "shards")
-    totals = cut.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n).alias("n"))
-    totals = totals.groupBy("lang").agg(F.sum("n").alias("all_words"))
-    own = cut.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "cell")).select(
-        "lang", "shard", (F.col("place") + 1).alias("place"), F.col("cell.words").alias("word"),
-        F.col("cell.counts").alias("n"),
-    )
-    words = reread(
-        own.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).join(totals, "lang"), "words"
+    each = cut.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n).alias("n"))
+    totals = reread(each.groupBy("lang").agg(F.sum("n").alias("all_words")), "totals")
+    sizes = totals.select(
+        "lang",
+        F.ceil(F.col("all_words") / shard_words).cast("int").alias("batches"),
+        F.ceil(F.col("all_words") / BUCKET_WORDS).cast("int").alias("buckets"),
     )
-    whole = cut.select("lang", "shard", "words", "ids").groupBy("lang", "shard")
-    of_shard = [F.col("lang").alias("its_lang"), F.col("shard").alias("its_shard")]
-    known = own.join(words.select("lang", "word"), ["lang", "word"]).select(
-        *of_shard, F.col("place").cast("long").alias("word")
-    )
-    pairs = reread(whole.cogroup(known.groupBy("its_lang", "its_shard")).applyInArrow(_pairs, PAIRS), "pairs")
-    frequent = reread(
-        pairs.groupBy("lang", "pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "pair"),
-        "frequent",
-    )
-    held = pairs.join(frequent, ["lang", "pair"]).select(*of_shard, "pair")
-    found = whole.cogroup(held.groupBy("its_lang", "its_shard")).applyInArrow(_phrases, PHRASES)
+    batch = F.pmod(F.xxhash64("shard"), F.greatest("batches", F.lit(1))).cast("int").alias("batch")
+    dealt = cut.join(sizes, "lang").withColumn("buckets", F.greatest("buckets", F.lit(1))).withColumn("batch", batch)
+
+    def frequent(counts: DataFrame, kind: int) -> DataFrame:
+        return reread(counts.groupBy("lang", "bucket").applyInArrow(_frequent(least, kind), KEPT), "kept")
+
+    def visited(kept: DataFrame, function, schema: str) -> DataFrame:
+        own = kept.withColumnsRenamed({"lang": "its_lang", "batch": "its_batch"}).groupBy("its_lang", "its_batch")
+        return dealt.groupBy("lang", "batch").cogroup(own).applyInArrow(function, schema)
+
+    counted = dealt.select("lang", "batch", "buckets", "words", "counts").mapInArrow(_word_counts, COUNTS)
+    words = frequent(counted, 0)
+    pairs = frequent(visited(words, _pairs, COUNTS), 1)
+    found = visited(words.unionByName(pairs), _phrases, PHRASES)
     phrases = found.groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in ("n", "left", "right")])
-    return words, reread(phrases.filter(F.col("n") >= least), "phrases")
+    return totals, reread(phrases.filter(F.col("n") >= least), "phrases")
 
 
 # --- collocations
@@ -387,12 +480,12 @@ def collocations(
     A phrase's cut is the one with the lowest score, ties to the first. Phrases of which a
     longer candidate covers the share ``covered`` are dropped.
     """
-    words, phrases = ngrams(docs, text, lang, least, shard_words)
-    counts = words.select("lang", F.col("word").alias("part"), "n").unionByName(
-        phrases.select("lang", F.col("phrase").alias("part"), "n")
-    )
-    candidates = phrases.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
+    totals, phrases = ngrams(docs, text, lang, least, shard_words)
+    counts = phrases.select("lang", F.col("phrase").alias("part"), "n")
     size = F.size("words")
+    candidates = phrases.select(
+        "lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words")
+    ).filter(size > 1)
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).select(
         "lang", "phrase", "a", "k",
         F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("first"),
@@ -420,7 +513,6 @@ def collocations(
     kept = scored.join(most, ["lang", "phrase"], "left").filter(~F.coalesce(share, F.lit(False)))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.max("all_words").alias("n"))
-    return ranked.join(totals, "lang").select(
+    return ranked.join(totals.withColumnRenamed("all_words", "n"), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
