@@ -41,7 +41,7 @@ from pairwright.llm.durable import reread
 
 DEPTH = 4
 LEAST = 30  # occurrences of a candidate
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 2_000_000
 BUCKET_WORDS = 1_000_000  # a bucket of keys is for so many words of the corpus
 TOP = 2000
 SCALE = 2_000_000
@@ -105,21 +105,30 @@ class Half:
         return np.searchsorted(self.rows, symbols * len(self.before) + low)
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    ranks = np.empty(len(keys), np.int32)
+    ranks[order] = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]), dtype=np.int32)
+    return ranks
 
 
 def transform(ids: np.ndarray) -> Half:
     """Sorts the rotations by their first ``DEPTH`` symbols; ``DEPTH`` is a power of two."""
-    ranks, width = ids, 1
+    ranks, width = ids.astype(np.int32), 1
     while width < DEPTH:
         wide = int(ranks.max(initial=0)) + 1
-        ranks = _ranks(ranks * wide + np.roll(ranks, -width))
+        pairs = ranks.astype(np.int64) * wide
+        pairs += np.roll(ranks, -width)
+        ranks = _ranked(pairs)
         width *= 2
-    before = np.roll(ids, 1)[np.argsort(ranks, kind="stable")]
+    before = np.roll(ids, 1).astype(np.int32)[np.argsort(ranks, kind="stable")]
     size = len(ids)
-    rows = np.sort(before * size + np.arange(size))
-    return Half(before, rows, np.concatenate([[0], np.cumsum(before > 0)]))
+    rows = before.astype(np.int64) * size
+    rows += np.arange(size)
+    rows.sort()
+    return Half(before, rows, np.concatenate([[0], np.cumsum(before > 0, dtype=np.int32)]))
 
 
 @dataclass
@@ -151,10 +160,15 @@ class Index:
             (self.ahead, found.low, found.back) if left else (self.behind, found.back, found.low)
         )
         ends = np.cumsum(found.size)
-        parent = np.repeat(np.arange(len(low)), found.size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + found.size, found.size)
         wide = int(half.before.max(initial=0)) + 1
-        cell, counts = np.unique(parent * wide + half.before[at], return_counts=True)
+        cells = np.repeat(np.arange(len(low)) * wide, found.size)
+        cells += half.before[at]
+        del at
+        cells.sort()
+        edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else cells
+        cell, counts = cells[edges], np.diff(np.concatenate([edges, [len(cells)]]))
+        del cells
         parent, symbol = cell // wide, cell % wide
         smaller = np.cumsum(counts) - counts - (ends - found.size)[parent]
         some = symbol > 0
@@ -369,8 +383,8 @@ class _Batch:
         self.counts = np.bincount(number, counts, len(self.words) + 1).astype(np.int64)
         parts, start = [], 0
         for data, size in zip(shards["ids"].to_pylist(), sizes.tolist(), strict=True):
-            own = np.concatenate([[0], number[start : start + size]])
-            parts += [own[unpacked(data)], np.zeros(1, np.int64)]
+            own = np.concatenate([[0], number[start : start + size]]).astype(np.int32)
+            parts += [own[unpacked(data)], np.zeros(1, np.int32)]
             start += size
         self.ids = np.concatenate(parts)
         self.keys = _word_keys(self.words)
