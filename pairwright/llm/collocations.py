@@ -312,10 +312,12 @@ def among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 COUNTS = "lang string, bucket int, batch int, keys binary, counts binary"
 KEPT = "lang string, batch int, kind int, keys binary"
 PHRASES = "lang string, phrase string, n long, left long, right long"
+CELLS = "lang string, bucket int, phrases array<string>, n binary, left binary, right binary"
 
 
 def _empty(schema: str) -> pa.Table:
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds["array<string>"] = pa.list_(pa.string())
     fields = [part.split() for part in schema.split(", ")]
     return pa.table({name: pa.array([], kinds[kind]) for name, kind in fields})
 
@@ -410,15 +412,16 @@ def _pairs(shards: pa.Table, kept: pa.Table) -> pa.Table:
 
 
 def _phrases(shards: pa.Table, kept: pa.Table) -> pa.Table:
-    """Frequent words of one batch, and all phrases whose pairs are frequent."""
+    """Frequent words of one batch, and all phrases whose pairs are frequent, by bucket."""
     if not shards.num_rows or not kept.num_rows:
-        return _empty(PHRASES)
+        return _empty(CELLS)
     batch = _Batch(shards, kept)
     ids, words = batch.ids, batch.words
     known = np.flatnonzero(among(batch.keys, batch.kept[0]))
     known = known[known > 0]
     texts = [words.take(pa.array(known - 1))]
     columns = [np.stack([batch.counts[known], np.zeros_like(known), np.zeros_like(known)])]
+    marks = [batch.keys[known]]
     keys = batch.keys[ids]
     tied = among(pair_keys(keys[:-1], keys[1:]), batch.kept[1]) & (ids[:-1] > 0) & (ids[1:] > 0)
     keep = np.concatenate([[False], tied]) | np.concatenate([tied, [False]])
@@ -430,18 +433,49 @@ def _phrases(shards: pa.Table, kept: pa.Table) -> pa.Table:
         columns.append(np.stack([found.size, before, after]))
         spelled = [words.take(pa.array(found.words[:, i] - 1)) for i in range(found.words.shape[1])]
         texts.append(pc.binary_join_element_wise(*spelled, " "))
-    n, before, after = np.concatenate(columns, axis=1)
+        mark = batch.keys[found.words[:, 0]]
+        for i in range(1, found.words.shape[1]):
+            mark = pair_keys(mark, batch.keys[found.words[:, i]])
+        marks.append(mark)
+    bucket = (np.concatenate(marks) % np.uint64(batch.buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    counts = np.concatenate(columns, axis=1)[:, order]
+    phrases = pa.concat_arrays(texts).take(pa.array(order))
+    buckets, start = np.unique(bucket[order], return_index=True)
+    ends = [*start.tolist()[1:], len(order)]
+    spans = list(zip(start.tolist(), ends, strict=True)) if len(order) else []
     return pa.table(
         {
-            "lang": pa.repeat(pa.scalar(batch.lang), len(n)),
-            "phrase": pa.concat_arrays(texts),
-            "n": n,
-            "left": before,
-            "right": after,
+            "lang": pa.array([batch.lang] * len(spans), pa.string()),
+            "bucket": pa.array(buckets, pa.int32()),
+            "phrases": pa.ListArray.from_arrays(pa.array([0, *(b for _, b in spans)], pa.int32()), phrases),
+            **{
+                name: pa.array([packed(counts[i, a:b]) for a, b in spans], pa.binary())
+                for i, name in enumerate(("n", "left", "right"))
+            },
         }
     )
 
 
+def _summed(least: int):
+    """The phrases of all batches in one bucket to the frequent ones with their counts."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        whole = pa.table(
+            {
+                "phrase": cells["phrases"].combine_chunks().flatten(),
+                **{c: np.concatenate([unpacked(x) for x in cells[c].to_pylist()]) for c in ("n", "left", "right")},
+            }
+        )
+        total = whole.group_by("phrase").aggregate([(c, "sum") for c in ("n", "left", "right")])
+        total = total.rename_columns([c.removesuffix("_sum") for c in total.column_names])
+        total = total.filter(pc.greater_equal(total["n"], least))
+        lang = pa.array([cells["lang"][0].as_py()] * total.num_rows, pa.string())
+        return total.append_column("lang", lang).select(["lang", "phrase", "n", "left", "right"])
+
+    return run
+
+
 def ngrams(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shard_words: int = SHARD_WORDS
 ) -> tuple[DataFrame, DataFrame]:
@@ -472,9 +506,8 @@ def ngrams(
     counted = dealt.select("lang", "batch", "buckets", "words", "counts").mapInArrow(_word_counts, COUNTS)
     words = frequent(counted, 0)
     pairs = frequent(visited(words, _pairs, COUNTS), 1)
-    found = visited(words.unionByName(pairs), _phrases, PHRASES)
-    phrases = found.groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in ("n", "left", "right")])
-    return totals, reread(phrases.filter(F.col("n") >= least), "phrases")
+    found = visited(words.unionByName(pairs), _phrases, CELLS)
+    return totals, reread(found.groupBy("lang", "bucket").applyInArrow(_summed(least), PHRASES), "phrases")
 
 
 # --- collocations
