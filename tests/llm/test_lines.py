@@ -36,15 +36,19 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == levenshtein(a, b)
 
 
-def direct_removed(docs, radius=3, similarity=0.8):
-    """``docs``: (doc_id, text), ids unique. Line numbers to remove, by id."""
+def direct_removed(docs, similarity=0.8):
+    """``docs``: (doc_id, text), ids unique. Line numbers to remove, by id, from all pairs of lines."""
     places: dict[str, list] = {}
     for i, text in docs:
         for n, line in enumerate(text.split("\n") if text is not None else ()):
             if key := line_dedup.normalised(line):
                 places.setdefault(key, []).append((i, n))
-    lines = sorted(places)
-    prints = line_dedup.majority_bits([line_dedup.line_print(x.encode().split(b" ")) for x in lines])
+    lines = sorted(places, key=lambda x: (len(x), x))
+    # an edit changes the counts of at most two characters, each by one
+    counts = np.zeros((len(lines), 64), np.int16)
+    for i, x in enumerate(lines):
+        np.add.at(counts[i], [ord(c) % 64 for c in x], 1)
+    sizes = np.array([len(x) for x in lines])
     root = list(range(len(lines)))
 
     def find(x):
@@ -53,9 +57,9 @@ def direct_removed(docs, radius=3, similarity=0.8):
         return x
 
     for i in range(len(lines)):
-        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius) + i + 1:
-            distance = levenshtein(lines[i], lines[j])
-            if 1 - distance / max(len(lines[i]), len(lines[j])) >= similarity - 1e-12:
+        room = (1 - similarity) * sizes[i + 1 :] + 1e-9
+        for j in np.flatnonzero(np.abs(counts[i + 1 :] - counts[i]).sum(axis=1) <= 2 * room) + i + 1:
+            if line_dedup.edit_distance(lines[i], lines[j]) <= (1 - similarity) * sizes[j] + 1e-9:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     groups: dict[int, list] = {}
@@ -76,42 +80,87 @@ def test_line_query_equals_brute_force(spark, small):
     assert all(r.n_removed == len(r.removed) for r in got)
 
 
-def test_crowds_of_near_lines(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CHUNK_LINES", 7)  # many chunks
+def removed_lines(spark, docs):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = line_dedup.with_removed(frame, [frame.doc_id]).collect()
+    return {r.row.doc_id: sorted(r.removed) for r in found if r.removed}
+
+
+@pytest.mark.parametrize("length", [9, 120])
+def test_crowds_of_near_lines(spark, monkeypatch, length):
+    """Blocks that many lines share, in small chunks, and families in small chunks."""
+    monkeypatch.setattr(line_dedup, "CHUNK_LINES", 7)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 6)
+    monkeypatch.setattr(line_dedup, "HELD_KEYS", 50)
+    monkeypatch.setattr(line_dedup, "BUCKET_KEYS", 100)
     draw = random.Random(8)
     words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
-    base = [draw.choice(words) for _ in range(120)]
+    base = [draw.choice(words) for _ in range(length)]
     docs = []
     for i in range(40):
         line = list(base)
-        line[draw.randrange(120)] = draw.choice(words)
+        for _ in range(1 + length // 40):
+            line[draw.randrange(length)] = draw.choice(words)
         docs.append((i, " ".join(line) + f"\nown line {draw.choice(words)} {i}\n\n!!!"))
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.row.doc_id: sorted(r.removed) for r in line_dedup.with_removed(frame, [frame.doc_id]).collect() if r.removed}
+    got = removed_lines(spark, docs)
     assert got == direct_removed(docs)
     assert sum(len(n) for n in got.values()) > 20
 
 
-@pytest.mark.parametrize("least,most", [(5, 8), (9, 14), (15, 25), (26, 50)])
-def test_near_copies_of_every_length_are_found(spark, small, least, most):
-    """One changed character, against brute force over the same lines without a radius."""
-    draw = random.Random(least)
+def test_a_link_to_a_line_in_a_crowd_is_kept(spark):
+    """B is near A, C is like B only; A and C are too far apart."""
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
+    a = words[:30]
+    b = [*a[:27], *words[30:33]]
+    c = [*words[40:44], *b[4:]]
+    docs = [(i, " ".join(x)) for i, x in enumerate((a, b, c))]
+    got = removed_lines(spark, docs)
+    assert got == direct_removed(docs) == {1: [0], 2: [0]}
+    alone = [docs[0], docs[2]]
+    assert removed_lines(spark, alone) == direct_removed(alone) == {}
+
+
+def edited(draw, line, kind, share, words):
+    parts = list(line) if kind == "characters" else line.split(" ")
+    places = [i for i, c in enumerate(parts) if c != " "]
+    for i in draw.sample(places, max(1, int(share * len(places)))):
+        parts[i] = draw.choice("qxzjk") if kind == "characters" else draw.choice(words)
+    return ("" if kind == "characters" else " ").join(parts)
+
+
+@pytest.mark.parametrize("least,most", [(1, 4), (5, 8), (9, 14), (15, 25), (26, 50), (51, 100), (101, 10**6)])
+@pytest.mark.parametrize("kind,share", [("characters", 0.02), ("characters", 0.05), ("words", 0.1), ("words", 0.15)])
+def test_edited_copies_share_blocks(small_lines, least, most, kind, share):
+    """Of edited copies that stay similar, at least nine in ten are candidates, at every length."""
+    draw = random.Random(f"{least}{kind}{share}")
+    words = sorted({w for x in small_lines for w in x.split(" ")})
+    lines = [x for x in small_lines if least <= len(x.split(" ")) <= most and len(x) >= 10]
+    found = total = 0
+    for line in (draw.choice(lines) for _ in range(60)):
+        other = edited(draw, line, kind, share, words)
+        if other != line and line_dedup.alike(line, other, 0.8):
+            total += 1
+            found += candidates(line, other)
+    assert total == 0 or found >= 0.9 * total
+
+
+def candidates(*lines):
+    columns = [c.to_pylist() for c in line_dedup.sketch_columns([x.encode() for x in lines])]
+    short_radius = line_dedup.short_radius(np.array([max(map(len, lines))]))[0]
+    for prints, packed, radius in ((columns[1:3], columns[3], line_dedup.RADIUS), (columns[4:6], columns[6], short_radius)):
+        if None not in packed:
+            a, b = (set(line_dedup.keys_from_bytes(k).tolist()) for k in packed)
+            apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in prints)
+            if a & b and apart <= radius:
+                return True
+    return False
+
+
+@pytest.fixture(scope="module")
+def small_lines(spark, small):
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    lines = {line_dedup.normalised(x) for t in texts for x in t.split("\n")}
-    lines = sorted(x for x in lines if least <= len(x.split(" ")) <= most)[:60]
-    docs = []
-    for i, line in enumerate(lines):
-        place = draw.choice([j for j, c in enumerate(line) if c != " "])
-        docs += [(2 * i, line), (2 * i + 1, line[:place] + "q" + line[place + 1 :])]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = line_dedup.with_removed(frame, [frame.doc_id], radius=None).collect()
-    got = {r.row.doc_id: r.removed for r in got if r.removed}
-    assert len(got) >= 0.98 * len(lines)
-    for i in got:  # only what brute force links to some other line
-        own = docs[i][1]
-        assert any(
-            line_dedup.edit_distance(own, x) <= 0.2 * max(len(own), len(x)) + 1e-9 for j, x in docs if j != i
-        )
+    return sorted({line_dedup.normalised(x) for t in texts for x in t.split("\n")} - {""})
 
 
 def test_deduplicated_edge_rows(spark, edge_docs, no_docs):
