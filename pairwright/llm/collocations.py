@@ -41,7 +41,7 @@ from pairwright.llm.durable import reread
 
 DEPTH = 4
 LEAST = 30  # occurrences of a candidate
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_200_000
 BUCKET_WORDS = 1_000_000  # a bucket of keys is for so many words of the corpus
 TOP = 2000
 SCALE = 2_000_000
