@@ -29,7 +29,6 @@ HEADLINE = (
     "gate_predictions",
     "run_report",
     "impute_numeric",
-    "random_forest",
     "run_condition_baseline",
     "run_condition_replication",
 )
