@@ -320,6 +320,20 @@ def q_blind(spark, sf):
     return gates.metric_blind(rows, ["doc_id"])
 
 
+@query(
+    "gate_metric_blind_planted",
+    """SELECT doc_id, 'forbidden_name' AS code FROM (SELECT doc_id, CASE WHEN hash THEN text || ' ROC_AUC rose' ELSE text END AS text
+         FROM (SELECT *, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 1) = 'a' AS hash FROM documents))
+       WHERE regexp_matches(lower(text), 'roc_auc|average_precision|precision|recall|f1|accuracy|predictive_metric|predictive_metrics|probability_values')""",
+)
+def q_blind_planted(spark, sf):
+    """The same after a metric name was put at the end of some documents."""
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    chosen = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 1) == "a"
+    text = F.when(chosen, F.concat("text", F.lit(" ROC_AUC rose"))).otherwise(F.col("text"))
+    return gates.metric_blind(rows.withColumn("text", text), ["doc_id"])
+
+
 @query(
     "gate_metric_blind_nested",
     f"""WITH {SCORES_SQL} SELECT {KEY_SQL} AS key, 'forbidden_name' AS code FROM auc WHERE arm = 'gaussian' AND roc_auc > 0.5""",

@@ -208,6 +208,21 @@ def q_nestedness(spark, sf):
     )
 
 
+@query(
+    "nestedness_decrease",
+    f"""WITH {SUBSET_SQL}, planted AS (SELECT target, retained_fraction, CASE WHEN target = 1 AND retained_fraction > 0.1 THEN allocation % 7 ELSE allocation END AS a FROM allocations)
+        SELECT target, retained_fraction, 'allocation_decreased' AS code
+        FROM (SELECT *, lag(a) OVER (PARTITION BY target ORDER BY retained_fraction) AS p FROM planted) WHERE a < p""",
+)
+def q_decrease(spark, sf):
+    """The same check on allocations of which the larger ones of a class were cut down."""
+    cut = (F.col("target") == 1) & (F.col("retained_fraction") > 0.1)
+    planted = sampler(spark, sf).allocations.withColumn(
+        "allocation", F.when(cut, F.col("allocation") % 7).otherwise(F.col("allocation"))
+    )
+    return S.nestedness_violations(planted)
+
+
 @query(
     "subset_membership_gaps",
     f"""WITH {SUBSET_SQL}, holes AS (SELECT * FROM subsets WHERE NOT (retained_fraction = 0.50 AND row_id % 5 = 0)),
