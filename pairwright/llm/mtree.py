@@ -11,6 +11,9 @@ it beyond, by the triangle inequality, is not computed. Queries that open the sa
 computed together. Bounds have a slack far above the rounding error, and scores are exact
 integers, so results and ties are exact.
 
+Components of any size: one beyond a long is the nearest long, and so is a score beyond
+``MOST`` to either side; scores that become equal that way are ties.
+
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no
 part, nor do rows without an id. Of rows that repeat an id the smallest vector counts; a
 query's own id is never among its results. Vectors of different lengths are not compared.
@@ -33,6 +36,8 @@ PAGE = 64  # entries of a leaf page
 FANOUT = 16  # routing vectors of an inner page
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
+MOST = (1 << 63) - 1  # the largest score; -MOST + 1 is the smallest
+NONE = -MOST  # no score
 
 
 @dataclass
@@ -50,19 +55,47 @@ class Tree:
 
 
 def whole_numbers(rows: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """``floor(scale * x)`` as doubles; inner products of these are exact below 2**53."""
-    out = np.floor(scale * rows.astype(np.float64))
-    if out.size and (np.abs(out).max() ** 2) * out.shape[1] >= 2.0**53:
-        raise ValueError("components too large for exact scores")
-    return out
+    """``floor(scale * x)`` as longs; what is beyond a long is the nearest long."""
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * rows.astype(np.float64))
+    inside = np.clip(out, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+    return np.where(out >= 2.0**63, np.int64(MOST), inside)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in half the room, if they fit."""
+    return x.astype(np.int32) if not x.size or (x.min() >= -(2**31) and x.max() < 2**31) else x
+
+
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two tables of longs, between ``-MOST + 1`` and ``MOST``."""
+    a_rough, b_rough = a.astype(np.float64), b.astype(np.float64)
+    rough = a_rough @ b_rough.T
+    a_size, b_size = (np.sqrt((x * x).sum(axis=1)) for x in (a_rough, b_rough))
+    if a_size.max(initial=0.0) * b_size.max(initial=0.0) < 2.0**52:
+        return rough.astype(np.int64)
+    size = np.outer(a_size, b_size)
+    error = 1e-12 * size  # far above the rounding error
+    # a sum that fits a long is right even where steps on its way wrapped around
+    with np.errstate(over="ignore"):
+        exact = a.astype(np.int64) @ b.astype(np.int64).T
+    low, high = rough - error, rough + error
+    exact[low >= 2.0**63] = MOST
+    exact[high <= -(2.0**63)] = NONE + 1
+    for edge in (2.0**63, -(2.0**63)):
+        for i, j in np.argwhere((low < edge) & (high > edge)).tolist():
+            score = sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True))
+            exact[i, j] = min(max(score, NONE + 1), MOST)
+    return np.maximum(exact, NONE + 1)
 
 
 def build_tree(ids: np.ndarray, rows: np.ndarray, page: int = PAGE, fanout: int = FANOUT) -> Tree:
     """Bulk load: rows are dealt to the nearest of a few routing vectors, page by page."""
-    x = whole_numbers(rows)
+    whole = whole_numbers(rows)
+    x = whole.astype(np.float64)
     norms = (x * x).sum(axis=1)
     norm = float(norms.max())
-    lifted = np.c_[x, np.sqrt(norm - norms)]
+    lifted = np.c_[x, np.sqrt(np.maximum(norm - norms, 0))]
     draw = np.random.default_rng(7)
     order = np.arange(len(x))
     pages: list[dict] = [{"rows": order, "routing": 0, "up": 0.0}]
@@ -100,10 +133,10 @@ def build_tree(ids: np.ndarray, rows: np.ndarray, page: int = PAGE, fanout: int
     order = np.concatenate(leaves)
     return Tree(
         ids[order],
-        x[order].astype(np.int32),
+        narrow(whole[order]),
         np.concatenate([p["dist"] for p in pages if p["leaf"]]),
         norm,
-        x[[p["routing"] for p in pages]].astype(np.int32),
+        narrow(whole[[p["routing"] for p in pages]]),
         np.array([p["radius"] for p in pages]),
         np.array([p["up"] for p in pages]),
         np.array([p["first"] for p in pages]),
@@ -118,14 +151,15 @@ def hold_queries(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def search_tree(tree: Tree, block: tuple[np.ndarray, np.ndarray], k: int = K):
     """``(query_id, vec_id, score)`` of the best ``k`` of each query in one tree."""
-    query_ids, queries = block
+    query_ids, exact = block
+    queries = exact.astype(np.float64)
     n, n_pages = len(queries), len(tree.leaf)
     norms = (queries * queries).sum(axis=1) + tree.norm
     slack = 1e-6 * (1 + np.sqrt(norms.max(initial=0.0)))
-    entries, routing = tree.entries.astype(np.float64), tree.routing.astype(np.float64)
+    routing = tree.routing.astype(np.float64)
     bound = np.full((n, n_pages), np.inf)  # of pages seen but not opened
     dist = np.zeros((n, n_pages))  # to routing vectors
-    top = np.full((n, k), -np.inf)
+    top = np.full((n, k), NONE)
     top_id = np.full((n, k), np.iinfo(np.int64).max)
     reach = np.full(n, np.inf)  # distance of the k-th so far
     dist[:, 0] = np.sqrt(np.maximum(norms - 2 * (queries @ routing[0]), 0))
@@ -152,10 +186,10 @@ def search_tree(tree: Tree, block: tuple[np.ndarray, np.ndarray], k: int = K):
                 if not len(columns):
                     continue
                 ids = tree.ids[first + columns]
-                scores = queries[who] @ entries[first + columns].T
-                scores[~wanted[:, columns]] = -np.inf
-                scores[ids[None, :] == query_ids[who][:, None]] = -np.inf
-                better = (scores >= top[who, -1:]) & (scores > -np.inf)
+                scores = inner_products(exact[who], tree.entries[first + columns])
+                scores[~wanted[:, columns]] = NONE
+                scores[ids[None, :] == query_ids[who][:, None]] = NONE
+                better = (scores >= top[who, -1:]) & (scores > NONE)
                 rows = np.flatnonzero(better.any(axis=1))
                 if not len(rows):
                     continue
@@ -169,9 +203,10 @@ def search_tree(tree: Tree, block: tuple[np.ndarray, np.ndarray], k: int = K):
                 pick = np.lexsort((both_id, -both), axis=-1)[:, :k]
                 top[own] = np.take_along_axis(both, pick, axis=1)
                 top_id[own] = np.take_along_axis(both_id, pick, axis=1)
-                full = top[own, -1] > -np.inf
+                # smaller scores than the smallest are ties with it, however far away
+                full = top[own, -1] > NONE + 1
                 reach[own[full]] = np.sqrt(
-                    np.maximum(norms[own[full]] - 2 * top[own[full], -1], 0)
+                    np.maximum(norms[own[full]] - 2.0 * top[own[full], -1], 0)
                 )
             else:
                 away = np.abs(dist[who, p][:, None] - tree.parent_dist[first:last])
@@ -185,9 +220,9 @@ def search_tree(tree: Tree, block: tuple[np.ndarray, np.ndarray], k: int = K):
                 low[~wanted[:, columns]] = np.inf
                 dist[np.ix_(who, first + columns)] = to_child
                 bound[np.ix_(who, first + columns)] = low
-    there = top > -np.inf
+    there = top > NONE
     query = np.repeat(query_ids, there.sum(axis=1))
-    return query, top_id[there], top[there].astype(np.int64)
+    return query, top_id[there], top[there]
 
 
 def top_inner_products(

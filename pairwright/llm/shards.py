@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.durable import settled
 
+PAIR = ("dim", "shard", "block")
+MOST_TASKS = 100_000
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector is there and all its components are finite numbers."""
@@ -71,10 +74,13 @@ def packed(rows: DataFrame, size: int, count: int, build: Callable, name: str) -
     )
 
 
-def searched(index: DataFrame, blocks: DataFrame, search: Callable, score: str, n_pairs: int) -> DataFrame:
+def searched(
+    index: DataFrame, blocks: DataFrame, search: Callable, score: str, n_shards: int, n_blocks: int
+) -> DataFrame:
     """``(query_id, vec_id, score)`` from ``search(shard, block)`` over all pairs of rows.
 
-    ``search`` gives three arrays. Each pair is a row of its own, dealt over the tasks.
+    ``search`` gives three arrays. Each pair is a row of its own, dealt over the tasks; both
+    sides bring the key of the pair, so no key of the join has more than one row a side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,11 @@ def searched(index: DataFrame, blocks: DataFrame, search: Callable, score: str,
                     ["query_id", "vec_id", "score"],
                 )
 
-    pairs = index.join(blocks, "dim").repartition(n_pairs, "shard", "block")
+    def dealt(side: DataFrame, other: str, n: int) -> DataFrame:
+        keyed = side.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        return keyed.repartition(min(n_shards * n_blocks, MOST_TASKS), *PAIR)
+
+    pairs = dealt(index, "block", n_blocks).hint("merge").join(dealt(blocks, "shard", n_shards), list(PAIR))
     return pairs.select("shard_data", "block_data").mapInArrow(
         run, f"query_id long, vec_id long, score {score}"
     )
@@ -124,5 +134,5 @@ def search_all(
     counts = rows.agg(F.count(F.lit(1)), F.count_if(queries)).first()
     index = settled(packed(rows, shard_rows, counts[0], build, "shard"))
     blocks = packed(asked, block_rows, counts[1], hold, "block")
-    n_pairs = max(1, -(-counts[0] // shard_rows)) * max(1, -(-counts[1] // block_rows))
-    return best(searched(index, blocks, search, score, min(n_pairs, 100_000)), k)
+    n_shards, n_blocks = max(1, -(-counts[0] // shard_rows)), max(1, -(-counts[1] // block_rows))
+    return best(searched(index, blocks, search, score, n_shards, n_blocks), k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import operator
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +97,60 @@ def test_tree_with_ties_and_bad_rows(spark, crowd, shard_rows):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+WIDE = [1e9, 3e7, 1e17, 1.7e17, 1e19, 1e300, 9e15, 2.0**57]
+
+
+def wide_rows():
+    """Small vectors, some with one or more components of any size, and sums that cancel."""
+    draw = np.random.default_rng(12)
+    rows = {i: draw.normal(size=4) for i in range(120)}
+    for i in range(0, 120, 3):
+        rows[i][draw.integers(4)] = WIDE[i // 3 % len(WIDE)] * draw.choice([-1, 1])
+    for i in range(1, 40, 3):
+        rows[i] = np.array([1e9, -1e9, 1e9, draw.normal()]) * draw.choice([-1, 1])
+    return rows
+
+
+@pytest.mark.parametrize("shard_rows", [32, 10_000])
+def test_components_of_any_size(spark, shard_rows):
+    rows = wide_rows()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    found = mtree.top_inner_products(table, F.col("vec_id") % 2 == 0, 7, shard_rows=shard_rows, block_rows=16)
+    most = 2**63 - 1
+
+    def whole(x):
+        return math.floor(64 * x) if abs(x) < 1e18 else most if x > 0 else -most - 1
+
+    exact = {i: [min(max(whole(x), -most - 1), most) for x in v.tolist()] for i, v in rows.items()}
+    want = []
+    for q in range(0, 120, 2):
+        scores = {i: sum(map(operator.mul, exact[q], v)) for i, v in exact.items() if i != q}
+        scores = {i: min(max(s, 1 - most), most) for i, s in scores.items()}
+        order = sorted(scores, key=lambda i: (-scores[i], i))[:7]
+        want += [(q, r, i, scores[i]) for r, i in enumerate(order, 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_inner_products_at_the_edges_of_a_long():
+    draw = np.random.default_rng(4)
+    a = draw.integers(-(2**33), 2**33, (60, 3))
+    b = draw.integers(-(2**31), 2**31, (60, 3))
+    a[:20, 0], b[:20, 0] = 2**62, 2
+    a[:20, 1:] >>= 30
+    got = mtree.inner_products(a, b)
+    for i, x in enumerate(a.tolist()):
+        for j, y in enumerate(b.tolist()):
+            score = sum(map(operator.mul, x, y))
+            assert got[i, j] == min(max(score, 2 - 2**63), 2**63 - 1)
+
+
+def test_each_pair_of_shard_and_block_is_a_key_of_its_own(spark, crowd):
+    found = mtree.top_inner_products(crowd, F.col("vec_id") % 10 == 0, shard_rows=64, block_rows=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and all(joins[0].count(f"{key}#") >= 2 for key in ("dim", "shard", "block"))
+
+
 def test_graph_with_ties_and_bad_rows(spark, crowd):
     rows = usable(crowd, False)
     got: dict = {}
