@@ -17,8 +17,11 @@ If it is not printable text from its first character, it is read from its first
 prefix of the same alphabet does no harm; compressed data may begin at a line or after one of
 ``/-_+``. Bytes that are not UTF-8 become U+FFFD; if there are NULs, the text without them
 (UTF-16 and UTF-32 of ASCII) is a layer too. Compressed data that breaks off gives what comes
-before. At most ``most_bytes`` are unpacked from one run in all, and a run that has more gives
-nothing, a guard against bombs. Repeated rows give repeated results. Extra columns are not read.
+before. Unpacked data is read as a stream; beyond ``WINDOW`` bytes it becomes several layers that
+share ``OVERLAP`` bytes, so a secret shorter than that is whole in one of them. A run
+within is cut there too: base64 text goes on in the next layer, compressed data does not.
+Of one run the first ``most_bytes`` (4 GiB) and ``MOST_LEVELS`` levels are read, as data that unpacks to more of
+itself has no end. Repeated rows give repeated results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -38,7 +42,11 @@ from pyspark.sql import functions as F
 from pairwright.llm.words import grouped
 
 KINDS = ("assign", "access", "hex")
-MOST_BYTES = 1 << 26
+MOST_BYTES = 1 << 32  # read of the unpacked data of one run
+MOST_LEVELS = 64  # of compression around one run
+PIECE = 1 << 16
+WINDOW = 1 << 24  # bytes of unpacked data that are one layer
+OVERLAP = 1 << 20
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -151,48 +159,96 @@ def unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(parts), lambda: (low, high))
 
 
-def inflated(data: bytes, most_bytes: int) -> bytes | None:
-    """What zlib data or all members of gzip data unpack to, as far as they go; None if it is
-    neither, gives nothing, or gives more than ``most_bytes``."""
-    out = b""
-    while data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0):
-        unpacker = zlib.decompressobj(wbits=47)
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and int.from_bytes(head[:2], "big") % 31 == 0)
+
+
+def _steps(data: bytes, size: int) -> Iterator[bytes]:
+    for i in range(0, len(data), size):
+        yield data[i : i + size]
+
+
+def _unpack(unpacker, data: bytes) -> Iterator[bytes]:
+    """What ``data`` adds to the output, in pieces; of broken data, what comes before the fault."""
+    while True:
+        before = unpacker.copy()
         try:
-            out += unpacker.decompress(data, most_bytes - len(out) + 1)
+            out = unpacker.decompress(data, PIECE)
         except zlib.error:
-            out += salvaged(data, most_bytes - len(out) + 1)
-            break
-        if len(out) > most_bytes:
-            return None
-        if not unpacker.eof or data[:1] == b"\x78":
-            break
-        data = unpacker.unused_data.lstrip(b"\0")
-    return out if 0 < len(out) <= most_bytes else None
-
-
-def salvaged(data: bytes, most: int) -> bytes:
-    """What broken data unpacks to before its fault."""
-    unpacker = zlib.decompressobj(wbits=47)
-    out = bytearray()
-    try:
-        for i in range(0, len(data), 64):
-            out += unpacker.decompress(data[i : i + 64])
-            if len(out) >= most:
-                break
-    except zlib.error:
-        pass
-    return bytes(out)
-
-
-def unpacked(data: bytes, most_bytes: int) -> bytes | None:
-    """Compressed data, unpacked until nothing unpacks."""
+            for step in _steps(data, 64):
+                yield before.decompress(step)  # fails again, where the fault is
+            raise
+        yield out
+        data = unpacker.unconsumed_tail
+        if unpacker.eof or (not data and len(out) < PIECE):
+            return
+
+
+def inflated(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """What zlib data, or all members of gzip data, unpack to, as far as they go; nothing if it is
+    neither. Only a piece of either is held."""
+    data, unpacker, first = b"", None, True
+    for piece in pieces:
+        data += piece
+        while data:
+            if unpacker is None:
+                data = data if first else data.lstrip(b"\0")
+                if len(data) < 2:
+                    break
+                if not _packed(data):
+                    return
+                unpacker, single, first = zlib.decompressobj(wbits=47), data[:1] == b"\x78", False
+            try:
+                yield from filter(None, _unpack(unpacker, data))
+            except zlib.error:
+                return
+            data = unpacker.unused_data
+            if unpacker.eof:
+                if single:
+                    return
+                unpacker = None
+
+
+def unpacked(data: bytes, most_bytes: int, window: int = WINDOW, overlap: int = OVERLAP) -> Iterator[bytes]:
+    """Compressed data, unpacked until nothing unpacks, in windows that overlap."""
+
+    def begun(stream: Iterator[bytes]) -> tuple[bytes, bool, Iterator[bytes]]:
+        head = b""
+        for piece in stream:
+            head += piece
+            if len(head) >= PIECE:
+                return head, False, chain([head], stream)
+        return head, True, iter([head])
+
+    def within(stream: Iterator[bytes]) -> Iterator[bytes]:
+        left = most_bytes
+        for piece in stream:
+            yield piece[:left]
+            left -= len(piece)
+            if left <= 0:
+                return
+
     seen: set[bytes] = set()
-    out = None
-    while data not in seen and (below := inflated(data, most_bytes)) is not None:
-        seen.add(data)
-        most_bytes -= len(below)
-        out = data = below
-    return out
+    head, ended, stream = begun(_steps(data, PIECE))
+    levels = 0
+    while levels < MOST_LEVELS and head not in seen and next(inflated([head]), None):
+        if ended:
+            seen.add(head)
+        head, ended, stream = begun(within(inflated(stream)))
+        levels += 1
+    if not levels:
+        return
+    held = bytearray()
+    fresh = 0
+    for piece in stream:
+        held += piece
+        fresh += len(piece)
+        while len(held) >= window:
+            yield bytes(held[:window])
+            del held[: window - overlap]
+            fresh = len(held) - overlap
+    if fresh > 0:
+        yield bytes(held)
 
 
 def printable(text: str) -> bool:
@@ -249,9 +305,9 @@ def unwrapped(layer: Layer, most_bytes: int) -> Iterator[Layer]:
     """All layers that are one decoding below this one."""
 
     def packed(data: bytes, start: int, end: int) -> Iterator[Layer]:
-        below = unpacked(data, most_bytes)
-        if below is not None:
-            origin = layer.origin(start, end)
+        origin = None
+        for below in unpacked(data, most_bytes):
+            origin = origin or layer.origin(start, end)
             yield from readings(below, lambda first, last: origin)
 
     below = unescaped(layer)

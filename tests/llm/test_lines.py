@@ -295,7 +295,9 @@ def test_layers_end():
     loop = "%25" * 2000 + "41"
     assert secrets.find(loop) == ([], [])
     bomb = b64(gzip.compress(b"a" * 5000))
-    assert secrets.find(bomb, most_bytes=100) == ([], [])
+    run = (0, secrets.KINDS.index("hex"), len(bomb.rstrip("=")))
+    assert secrets.find(bomb, most_bytes=100) == ([], [run])  # what comes within the bound counts
+    assert secrets.find(bomb, most_bytes=20) == ([], [])
 
 
 def test_equal_wrapped_secrets_have_a_span_each():
