@@ -6,13 +6,15 @@ the mean of its letter trigram vectors, so unseen words are read through their l
 document's logit is that of its most toxic window, calibrated to a probability.
 
 Learning, in numpy on the driver: a sample of at most ``sample_docs`` labelled documents of
-each class (twice that of the clean class), the first by a digest of doc_id. Labels hold for
+each class (twice that of the clean class), the first by a digest of doc_id: one text of each id, of
+texts of at most an eighth of ``sample_bytes`` the first of ``sample_bytes`` in all. Labels hold for
 documents, so toxic documents teach by their most toxic windows and clean ones by theirs. A
 quarter of the sample is kept for the calibration. Scoring takes place in Spark over all
 windows of all texts.
 
 Defined cases: a null text or one without letters has one window without words. Without
-labels of both classes every score is 0. Repeated rows score alike. Extra columns are not
+labels of both classes every score is 0. An id with both labels teaches nothing, and of several
+texts of an id the one with the smallest digest does. Repeated rows score alike. Extra columns are not
 read; labels, languages, sources and ids are no input of a score.
 """
 
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.language import held_out
@@ -38,6 +40,7 @@ BITS = 15  # buckets of words and of trigrams
 PREFIXES = (4, 6)  # first letters that have a vector of their own
 DROPPED = 0.3  # share of whole-word vectors left out in a training step
 SAMPLE_DOCS = 700
+SAMPLE_BYTES = 32 << 20
 EPOCHS = 14
 BATCH = 256
 PRIOR = 0.1  # share of toxic texts that the calibration assumes
@@ -342,26 +345,33 @@ def learn(
     doc_id: str = "doc_id",
     text: str = "text",
     toxic: str = "toxic",
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Model:
     """Train on a bounded sample of the labelled documents that are not held out."""
+    digest = F.xxhash64("doc_id", F.lit("toxicity"))
     labelled = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
+        .filter("toxic = _most")
+        .drop("_most")
     )
 
     def some(value: int, most: int) -> DataFrame:
-        digest = F.xxhash64("doc_id", F.lit("toxicity"))
         return labelled.filter(F.col("toxic") == value).orderBy(digest, "doc_id").limit(most)
 
     sample = some(1, sample_docs).unionByName(some(0, 2 * sample_docs))
-    # at most 3 * sample_docs rows
-    rows = (
+    # at most 3 * sample_docs rows, one of each id
+    texts = (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        .filter(F.col("text").isNotNull())
+        .filter(F.octet_length("text") <= sample_bytes // 8)
         .join(F.broadcast(sample), "doc_id")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+        .groupBy("doc_id", "toxic")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     )
+    sofar = F.sum(F.octet_length("text")).over(Window.orderBy(digest, "doc_id"))
+    rows = texts.withColumn("upto", sofar).filter(F.col("upto") <= sample_bytes).drop("upto").toArrow().sort_by("doc_id")
     return train(rows["text"].to_pylist(), rows["toxic"].to_numpy())
 
 

@@ -82,3 +82,26 @@ def test_query_and_edge_rows(spark, small, edge_docs, no_docs):
     nothing = toxicity.learn(edge_docs, labels)
     assert nothing.network is None
     assert {r.score for r in toxicity.score(edge_docs, nothing).collect()} == {0.0}
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Many and huge texts of an id, an id with both labels: what reaches the driver is bounded."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {i} of some words", 0) for i in ids]
+    rows += [(ids[0], f"another text {n}", 0) for n in range(500)]
+    rows += [(ids[1], "x" * 4_001, 0), (ids[2], "y" * 100_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    labels = spark.createDataFrame(
+        [(i, int(i % 4 == 0)) for i in ids] + [(ids[3], 0), (ids[3], 1)], "doc_id long, toxic int"
+    )
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((texts, toxic.tolist())))
+    toxicity.learn(docs, labels, sample_bytes=32_000)
+    texts, toxic = seen[0]
+    assert len(texts) == len(ids) - 1 and f"text {ids[3]} of some words" not in texts
+    assert f"text {ids[1]} of some words" in texts and max(map(len, texts)) <= 4_000
+    assert toxic == [int(i % 4 == 0) for i in ids if i != ids[3]]
+    toxicity.learn(docs, labels, sample_bytes=400)
+    assert 0 < sum(map(len, seen[1][0])) <= 400
+    toxicity.learn(docs.unionByName(docs), labels, sample_bytes=32_000)
+    assert seen[2] == seen[0]
