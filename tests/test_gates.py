@@ -196,3 +196,19 @@ def test_replay_report(spark):
         ledger.run_report(book.withColumn("run", F.lit(1)), ["run"], 8),
         ledger.reconcile_artifacts(grid, book, files).withColumn("run", F.lit(1)), ["run"], 8)
     assert gate.first()["may_start"]
+
+
+def test_keys_are_dealt_by_the_rows_they_become(spark, tmp_path, monkeypatch):
+    """The runs of all events became 540 rows each in one task."""
+    from catalog import base
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = 540 * 40 * cores
+    events = spark.range(rows, numPartitions=1).select(
+        F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.lit(1).cast("long").alias("user_id"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(base, "KEY_ROWS", 540 * 20, raising=False)
+    for found in (base.runs(spark, str(tmp_path)), base.events_on_grid(spark, str(tmp_path))):
+        held = found.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+        assert held[0] == rows and held[1] <= 540 * 20 * 3
