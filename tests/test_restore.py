@@ -163,3 +163,37 @@ def test_membership_of_restored_rows(spark):
     swapped = good.withColumn(
         "row_id", F.when(~F.col("is_duplicate") & (F.col("row_id") == 8), 12).otherwise(F.col("row_id")))
     assert codes(swapped) == {"original_missing_or_repeated"}
+
+
+def test_ordered_digest_streams_its_chunks(spark, monkeypatch):
+    """Chunks were lists in memory, all those of a task at once; null keys and values, many batches."""
+    monkeypatch.setattr(ordering, "CHUNK", 64)
+    data = [(g, p, None if (p * 7 + len(str(g))) % 5 == 0 else p * 3) for g in ("a", None, "b,c") for p in range(300)]
+    frame = spark.createDataFrame(data, "g STRING, pos LONG, v LONG").repartition(5)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 17)
+    try:
+        found = ordering.ordered_digest(frame, ["g"], "pos", glue="\n", v=F.col("v"))
+        got = {r["g"]: r["v"] for r in found.collect()}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(batch)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for group in ("a", None, "b,c"):
+        values = [v for g, _, v in data if g == group]
+        chunks = ["\n".join(str(v) for v in values[k : k + 64] if v is not None) + "\n" for k in range(0, 300, 64)]
+        assert got[group] == sha("64:" + ",".join(sha(chunk) for chunk in chunks))
+    assert plan.count("collect_list") == 1  # of chunk digests, not of rows
+
+
+def test_digests_of_both_audits_place_the_rows_once(spark, monkeypatch):
+    rows = spark.range(200).select(
+        F.lit("d").alias("dataset"), F.lit("050pct").alias("retained_fraction_token"), F.lit(0).alias("seed"),
+        F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("target"),
+    )
+    restorer, calls = restore.Restorer(rows, F.lit(500)), []
+    plain = restore.Restorer._ordered
+    monkeypatch.setattr(restore.Restorer, "_ordered", lambda self, table: calls.append(1) or plain(self, table))
+    restorer.audit()
+    restorer.class_blocks()
+    assert len(calls) == 1
