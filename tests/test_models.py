@@ -134,3 +134,12 @@ def test_pending_study_and_latest_rows(spark):
     assert list(left.levels) == ["cleveland"] and left.seeds == (29,) and left.size == 2
     book = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "key STRING, completed_at STRING")
     assert rows(latest_rows(book)) == [("a", "2"), ("b", "1")]
+
+
+def test_coefficients_are_broadcast_to_their_rows(spark):
+    """A few conditions with many rows each must not become a few tasks."""
+    data = [(g, [float(i % 5), 1.0], i % 2, 1) for g in range(2) for i in range(40)]
+    frame = spark.createDataFrame(data, "g INT, x ARRAY<DOUBLE>, target INT, weight INT")
+    scored = score_logistic(frame, fit_logistic(frame, ["g"], 2), ["g"])
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
