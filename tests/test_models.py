@@ -136,6 +136,73 @@ def test_pending_study_and_latest_rows(spark):
     assert rows(latest_rows(book)) == [("a", "2"), ("b", "1")]
 
 
+def sparse_rows(spark, features, seed=3):
+    """Rows of two conditions with a number, an intercept and a cell of each of ``features`` categories."""
+    rng = np.random.default_rng(seed)
+    width = 2 + sum(features)
+    data, designs = [], {}
+    for g in range(2):
+        n = 300
+        x = np.zeros((n, width))
+        x[:, 0], x[:, width - 1] = rng.normal(size=n) * (1 + g), 1.0
+        start = 1
+        for k in features:
+            # some rows have no category, one category has a third of the rows
+            cell = np.where(rng.random(n) < 0.3, 0, rng.integers(0, k, size=n))
+            has = rng.random(n) < 0.9
+            x[np.flatnonzero(has), start + cell[has]] = 1.0
+            start += k
+        y = (rng.random(n) < 1 / (1 + np.exp(-x @ rng.normal(size=width)))).astype(float)
+        w = rng.integers(1, 6, size=n).astype(float)
+        designs[g] = (x, y, w)
+        for row, t, v in zip(x, y, w):
+            at = np.flatnonzero(row)
+            data.append((g, at.tolist(), row[at].tolist(), int(t), int(v)))
+    kind = "g INT, index ARRAY<INT>, value ARRAY<DOUBLE>, target INT, weight INT"
+    return spark.createDataFrame(data, kind).repartition(5), designs, width
+
+
+@pytest.mark.parametrize("features, dense", [((40,), True), ((5, 60), True), ((40, 40), False)])
+@pytest.mark.parametrize("cells", [4_000_000, 70])
+def test_sparse_fit_equals_dense_fit(spark, features, dense, cells, monkeypatch):
+    """One wide feature needs no conjugate gradients, and steps in the common columns only."""
+    from pairwright.operators import logistic
+
+    def no_scans(*_):
+        raise AssertionError("conjugate gradients")
+
+    if dense:
+        monkeypatch.setattr(logistic, "_newton_cg", no_scans)
+    monkeypatch.setattr(logistic, "STATE_CELLS", cells)
+    monkeypatch.setattr(logistic, "COMMON_COLUMNS", 20)
+    frame, designs, width = sparse_rows(spark, features)
+    fitted = logistic.fit_sparse_logistic(frame, ["g"], width)
+    assert (len(fitted.columns) < 20) == dense
+    got = np.zeros((2, width))
+    for row in fitted.coefficients().collect():
+        got[row["g"], row["index"]] += row["coefficient"]
+    for g, (x, y, w) in designs.items():
+        assert np.allclose(got[g], newton(x, y, w), atol=1e-6)
+    scored = fitted.logit(frame.select("g", "index", "value")).collect()
+    assert len(scored) == 600
+    for r in scored:
+        assert r["z"] == pytest.approx(float(np.dot(got[r["g"]][r["index"]], r["value"])), abs=1e-9)
+
+
+def test_hot_columns_become_common(spark, monkeypatch):
+    from pairwright.operators import logistic
+
+    monkeypatch.setattr(logistic, "COMMON_ROWS", 50)
+    frame, designs, width = sparse_rows(spark, (40,))
+    fitted = logistic.fit_sparse_logistic(frame, ["g"], width)
+    assert fitted.columns.tolist() == [0, 1, width - 1]
+    got = np.zeros((2, width))
+    for row in fitted.coefficients().collect():
+        got[row["g"], row["index"]] += row["coefficient"]
+    for g, (x, y, w) in designs.items():
+        assert np.allclose(got[g], newton(x, y, w), atol=1e-6)
+
+
 def test_coefficients_are_broadcast_to_their_rows(spark):
     """A few conditions with many rows each must not become a few tasks."""
     data = [(g, [float(i % 5), 1.0], i % 2, 1) for g in range(2) for i in range(40)]
