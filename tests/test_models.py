@@ -210,3 +210,21 @@ def test_coefficients_are_broadcast_to_their_rows(spark):
     scored = score_logistic(frame, fit_logistic(frame, ["g"], 2), ["g"])
     plan = scored._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_narrow_features_are_broadcast_to_the_rows(spark, monkeypatch):
+    """Rows are shuffled for a wide feature only; the cells are the same either way."""
+    data = [(g, f"n{i % 3}" if i % 7 else None, f"w{i}", i) for g in range(2) for i in range(60)]
+    frame = spark.createDataFrame(data, "g INT, nom STRING, wide STRING, row_id INT").localCheckpoint()
+    new = spark.createDataFrame([(0, "n1", "w3", 900), (1, "other", "none", 901)], frame.schema)
+    spec = TableSpec("t", "target", nominal=("nom", "wide"))
+    found = []
+    for cells in (100_000, 20):
+        monkeypatch.setattr(P, "NARROW_CELLS", cells)
+        work = P.Preprocessor(frame, ["g"], spec, intercept=True)
+        design = work.sparse(frame.union(new), scaled=False, keep=["row_id"])
+        found.append(rows(design.selectExpr("g", "row_id", "index", "value")))
+        hinted = design._jdf.queryExecution().analyzed().toString().count("strategy=broadcast")
+        assert hinted == (2 if cells > 60 else 1)
+    assert found[0] == found[1] and len(found[0]) == 122
+    assert [r[2] for r in found[0] if r[1] >= 900] == [[1, 3 + sorted(f"w{i}" for i in range(60)).index("w3"), 63], [63]]
