@@ -350,3 +350,31 @@ def test_secret_edge_rows(spark, edge_docs, no_docs):
     got = secrets.secret_spans(edge_docs).collect()
     assert len(got) == edge_docs.count() and not any(r.spans for r in got)
     assert secrets.secret_spans(no_docs).count() == 0
+
+
+def test_lines_of_unlike_lengths_are_no_candidates(spark):
+    """A line and the same line twice have the n-grams and blocks in common, but cannot be similar."""
+    draw = random.Random(6)
+    line = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40))
+    docs = spark.createDataFrame([(0, line), (1, f"{line} {line}"), (2, f"{line} end")], "doc_id long, text string")
+    keyed = docs.select(*line_dedup._row_key("doc_id", "text"), "text")
+    lines = keyed.mapInArrow(line_dedup._line_batches, line_dedup.LINES).localCheckpoint()
+    name = {r._doc: r.print for r in lines.collect()}
+    links = line_dedup.block_links(lines, 0.8)[0].collect()
+    assert [{r.a, r.b} for r in links] == [{name[0], name[2]}]
+    assert removed_lines(spark, [(r.doc_id, r.text) for r in docs.collect()]) == {2: [0]}
+
+
+def test_many_pairs_are_compared_as_one_by_one():
+    draw = random.Random(7)
+    pairs = []
+    for i in range(700):
+        line = "".join(draw.choice("abcdefg \u00e9\u6f22\U0001f600") for _ in range(draw.choice([1, 63, 64, 65, 128, 300])))
+        other = list(line)
+        for _ in range(draw.randrange(2 + len(line) // 3)):
+            other[draw.randrange(len(other))] = draw.choice(["x", "", "yz"])
+        pairs.append((line, "".join(other) if i % 50 else ""))
+    got = line_dedup.alike_pairs(pairs, 0.8)
+    assert got == [line_dedup.alike(a, b, 0.8) for a, b in pairs]
+    assert {bool(x) for x in got} == {False, True}
+    assert got == [line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
