@@ -378,3 +378,31 @@ def test_many_pairs_are_compared_as_one_by_one():
     assert got == [line_dedup.alike(a, b, 0.8) for a, b in pairs]
     assert {bool(x) for x in got} == {False, True}
     assert got == [line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+
+
+def test_unlike_texts_are_told_apart_by_their_first_letters(monkeypatch):
+    """Whole distances are for the few pairs whose beginnings could be alike; none is lost by that."""
+    draw = random.Random(9)
+    pairs = []
+    for i in range(400):
+        a = "".join(draw.choice("abcdefgh ") for _ in range(draw.randint(200, 700)))
+        b = "".join(draw.choice("abcdefgh ") for _ in range(len(a) - draw.randint(0, 20)))
+        if i % 20 == 0:  # the end differs, in too much or not
+            b = a[: len(a) * draw.choice([7, 9]) // 10] + b[: len(a) // 10]
+        if i % 20 == 1:  # moved by letters in front
+            b = "xyz" * (len(a) // 30) + a
+        pairs.append((a, b))
+    whole = []
+    plain = line_dedup._edit_distances
+
+    def counted(points, a, b, widths, prefix):
+        whole.append(0 if prefix else len(a))
+        return plain(points, a, b, widths, prefix)
+
+    monkeypatch.setattr(line_dedup, "_edit_distances", counted)
+    got = line_dedup.alike_pairs(pairs, 0.8)
+    assert got == [line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert 20 <= sum(got) <= 40 and sum(whole) <= 40
+    # a table of letters that is too large leaves pairs to the plain way
+    monkeypatch.setattr(line_dedup, "TABLE_CELLS", 10)
+    assert line_dedup.alike_pairs(pairs[:60], 0.8) == got[:60]
