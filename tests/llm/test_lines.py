@@ -406,3 +406,11 @@ def test_unlike_texts_are_told_apart_by_their_first_letters(monkeypatch):
     # a table of letters that is too large leaves pairs to the plain way
     monkeypatch.setattr(line_dedup, "TABLE_CELLS", 10)
     assert line_dedup.alike_pairs(pairs[:60], 0.8) == got[:60]
+
+
+def test_a_sketch_does_not_depend_on_the_lines_around():
+    draw = random.Random(10)
+    lines = [" ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n)).encode() for n in range(90, 190)]
+    together = [c.to_pylist() for c in line_dedup.sketch_columns(lines)]
+    alone = [[c[0].as_py() for c in line_dedup.sketch_columns([x])] for x in lines]
+    assert alone == [list(x) for x in zip(*together, strict=True)]
