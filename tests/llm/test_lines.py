@@ -11,11 +11,12 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_fixtures import edge_docs, no_docs, small  # noqa: F401  (fixtures)
 
-from pairwright.llm import licenses, line_dedup, secrets
+from pairwright.llm import licenses, line_dedup, secrets, words
 from pairwright.llm.queries import QUERIES
 
 
@@ -414,3 +415,91 @@ def test_a_sketch_does_not_depend_on_the_lines_around():
     together = [c.to_pylist() for c in line_dedup.sketch_columns(lines)]
     alone = [[c[0].as_py() for c in line_dedup.sketch_columns([x])] for x in lines]
     assert alone == [list(x) for x in zip(*together, strict=True)]
+
+
+def _edited(draw, line, edits):
+    for _ in range(edits):
+        i = draw.randrange(len(line))
+        line = line[:i] + draw.choice(["", "x", "yz w", line[i] + line[i]]) + line[i + draw.randrange(3) :]
+    return line
+
+
+def _word_line(draw, words):
+    return " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 7))) for _ in range(words))
+
+
+def test_a_quick_way_to_edit_costs_no_less_than_the_best():
+    draw = random.Random(12)
+    found = 0
+    for i in range(600):
+        a = _word_line(draw, draw.randint(1, 60))
+        b = _edited(draw, a, draw.randint(0, 20)) if i % 3 else _word_line(draw, 30)
+        distance = line_dedup.edit_distance(a, b)
+        room = 0.2 * max(len(a), len(b))
+        quick = line_dedup.edits_at_most(a, b, room)
+        assert not quick or distance <= room
+        found += quick
+        assert not line_dedup.edits_at_most(a, b, distance - 1)
+        assert (line_dedup.edit_distance(a, b, room) <= room) == (distance <= room)
+    assert found > 200
+
+
+def test_near_copies_need_no_whole_distances(monkeypatch):
+    """They took most of the time of the line stage, one by one where a family is small."""
+    draw = random.Random(13)
+    lines = [_word_line(draw, 60) for _ in range(20)]
+    pairs = [(x, _edited(draw, x, 6)) for x in lines]
+    monkeypatch.setattr(line_dedup, "edit_distance", None)
+    monkeypatch.setattr(line_dedup, "_edit_distances", None)
+    assert all(line_dedup.alike_pairs(pairs, 0.8))
+
+
+def test_short_lines_of_a_block_are_compared_together(monkeypatch):
+    draw = random.Random(14)
+    texts = [_word_line(draw, 8)[:30] for _ in range(60)]
+    texts = sorted({*texts, *(_edited(draw, x, 2) for x in texts[:20])})
+    n = len(texts)
+    want = {(i, j) for i in range(n) for j in range(i) if line_dedup.alike(texts[i], texts[j], 0.8)}
+    one_by_one = []
+    plain = line_dedup.edit_distance
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda *a: one_by_one.append(a) or plain(*a))
+    got = line_dedup.text_links(np.zeros(n, np.int64), np.zeros((n, 2), np.int64), np.array(texts, object), 0.8)
+    group = {i: i for i in range(n)}
+    for i, j in got:
+        assert (max(i, j), min(i, j)) in want
+        group = {x: group[i] if g == group[j] else g for x, g in group.items()}
+    assert all(group[i] == group[j] for i, j in want)
+    assert len(got) == n - len(set(group.values())) and len(one_by_one) < n
+
+
+def test_small_families_are_verified_together(monkeypatch):
+    """One call for many families; lines of two families never meet, nor those of one chunk of two."""
+    draw = random.Random(15)
+    columns = ["key", "chunk", "low", "high", "keys", "line", "content"]
+    line = _word_line(draw, 30)
+    rows = []
+    for key in range(50):
+        other = _word_line(draw, 30)
+        for chunk, text in ((0, other), (key % 2, other + "x"), (key % 2, line), (0, line + "y")):
+            rows.append((key, chunk, 0, 0, line_dedup.keys_to_bytes(np.array([7, 7, 9], np.uint64)), len(rows), text))
+    calls = []
+    plain = line_dedup.alike_rows
+    monkeypatch.setattr(line_dedup, "alike_rows", lambda *a: calls.append(a) or plain(*a))
+    table = pa.table(dict(zip(columns, map(list, zip(*rows)))))
+    batches = line_dedup._verify_batches(0.8)(iter(table.to_batches(7)))
+    got = {frozenset(p) for b in batches for p in zip(*(c.to_pylist() for c in b.columns))}
+    assert got == {frozenset((4 * k + i, 4 * k + i + 1)) for k in range(50) for i in (0, 2)}
+    assert len(calls) == 1
+
+
+def test_a_stage_gives_its_memory_back(monkeypatch):
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(1)
+
+    monkeypatch.setattr(words.pa, "default_memory_pool", Pool)
+    out = words.trimmed(lambda batches: (x + 1 for x in batches))(iter([1, 2]))
+    assert next(out) == 2 and not given
+    assert list(out) == [3] and given
