@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pairwright.llm.words import SCRIPTS, Words, grouped, split_words, trigrams
+from pairwright.llm.words import SCRIPTS, Words, grouped, split_words, trigrams, trimmed
 
 BITS = 16
 SAMPLE_DOCS = 1000
 SWITCH = 8.0  # log penalty of a change of language between words
 SCRIPT_SHARE = 0.002  # least share of a language's letters for a script to be one of its own
 IMPOSSIBLE = np.float32(-1e4)
+LABEL_CHARS = 1 << 21  # of texts labelled at once: a step of all costs little more than of few
 
 
 @dataclass
@@ -100,7 +101,7 @@ def learn(
     sample = labelled.filter(F.coalesce(digest < share[F.col("lang")], F.lit(False)))
     cells = (
         sample.select("text", "lang")
-        .mapInArrow(_count_batches(languages, bits), "cell long, n long")
+        .mapInArrow(trimmed(_count_batches(languages, bits)), "cell long, n long")
         .groupBy("cell")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -218,7 +219,7 @@ def _label_batches(broadcast, text_at: int):
         for batch in batches:
             texts = batch.column(text_at)
             sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(False)
-            for a, b in grouped(sizes):
+            for a, b in grouped(sizes, LABEL_CHARS):
                 labels, certain = label_texts(texts[a:b].to_pylist(), model)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(a, b - a).columns, pa.array(labels, pa.string()), pa.array(certain)],
@@ -234,5 +235,5 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     plain = docs.toDF(*names)
     schema = StructType(list(plain.schema.fields)).add("_lang", "string").add("_lang_score", "double")
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    out = plain.mapInArrow(_label_batches(broadcast, docs.columns.index(text)), schema)
+    out = plain.mapInArrow(trimmed(_label_batches(broadcast, docs.columns.index(text))), schema)
     return out.toDF(*docs.columns, "_lang", "_lang_score")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.durable import settled
-from pairwright.llm.words import grouped
+from pairwright.llm.words import grouped, trimmed
 
 CAPACITY = 4096
 END = 2
@@ -178,7 +178,7 @@ def pieces(
     """The pieces of all documents, before packing."""
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")
-    ).mapInArrow(_piece_batches(tokenizer, capacity, end), PIECES)
+    ).mapInArrow(trimmed(_piece_batches(tokenizer, capacity, end)), PIECES)
 
 
 # --- the plan: windows over the multiset of lengths
